@@ -1,0 +1 @@
+"""Operators: functions from a DataFrame to a DataFrame."""
