@@ -29,8 +29,9 @@ LIMITS = {
     "free_text_min_avg_words": 4, "free_text_min_avg_length": 40,
 }
 
-# One or more cased words, each a capital followed by lower case only.
-_TITLE = r"^[^\p{L}]*(\p{Lu}[^\p{Lu}\p{Ll}\p{Lt}]*|\p{Lu}\p{Ll}+[^\p{L}]*)+$"
+# Words of one capital and then lower case only, with something uncased between words.
+_UNCASED = r"[^\p{Lu}\p{Ll}\p{Lt}]"
+_TITLE = rf"^{_UNCASED}*\p{{Lu}}\p{{Ll}}*({_UNCASED}+\p{{Lu}}\p{{Ll}}*)*{_UNCASED}*$"
 
 
 def _count_if(condition: Column) -> Column:
