@@ -36,42 +36,39 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[
             *group, F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("i") + 1).alias("prob"),
             "n", "value")
 
+    # The sketch is off by at most n / ACCURACY ranks, half the slack.
     slack = 2.0 / ACCURACY
     lows = F.array(*[F.lit(max(0.0, p - slack)) for p in wanted])
     highs = F.array(*[F.lit(min(1.0, p + slack)) for p in wanted])
     sketch = long.groupBy(*group).agg(
         F.count("*").alias("n"),
-        F.min("x").alias("least"), F.max("x").alias("most"),
         F.percentile_approx("x", lows, ACCURACY).alias("lo"),
         F.percentile_approx("x", highs, ACCURACY).alias("hi"),
     )
-    bracket = sketch.select(*group, "n", "least", "most",
-                            F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b"))
     prob = F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("i") + 1)
-    place = prob * (F.col("n") - 1)
-    # The two order statistics may lie one rank outside the sketch's answer at the ends.
-    bracket = bracket.select(
-        *group, "n", prob.alias("prob"), place.alias("place"),
-        F.when(place <= slack * F.col("n") + 1, F.col("least")).otherwise(F.col("b.lo")).alias("lo"),
-        F.when(place >= (1 - slack) * F.col("n") - 2, F.col("most")).otherwise(F.col("b.hi")).alias("hi"),
+    bracket = (
+        sketch.select(*group, "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b"))
+        .select(*group, "n", prob.alias("prob"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     )
-    inside = (
+    # Rounding ranks may still ask for the value just outside the bracket, so the rows
+    # below keep their largest value and the rows above their smallest.
+    side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
+    counted = (
         long.join(bracket, group)
-        .where(F.col("x") <= F.col("hi"))
-        .groupBy(*group, "prob", "n", "place", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x"))
-        .agg(F.count("*").alias("copies"))
+        .groupBy(*group, "prob", "n", side.alias("side"), F.when(side == 0, F.col("x")).alias("at"))
+        .agg(F.count("*").alias("copies"), F.min("x").alias("least"), F.max("x").alias("most"))
     )
-    order = W.partitionBy(*group, "prob").orderBy(F.col("x").asc_nulls_first())
-    ranked = inside.withColumn(
+    order = W.partitionBy(*group, "prob").orderBy("side", "at")
+    ranked = counted.withColumn(
         "last", F.sum("copies").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
     ).withColumn("first", F.col("last") - F.col("copies") + 1)
-    low_rank, high_rank = F.floor("place"), F.ceil("place")
-    holds = lambda rank: F.col("x").isNotNull() & (F.col("first") <= rank) & (F.col("last") >= rank)
-    picked = ranked.groupBy(*group, "prob", "n", "place").agg(
-        F.max(F.when(holds(low_rank), F.col("x"))).alias("a"),
-        F.max(F.when(holds(high_rank), F.col("x"))).alias("b"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - low_rank)
+    place = F.col("prob") * (F.col("n") - 1)
+    value_at = lambda rank: F.max(
+        F.when((F.col("first") <= rank) & (F.col("last") >= rank),
+               F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))))
+    picked = ranked.groupBy(*group, "prob", "n").agg(
+        value_at(F.floor(place)).alias("a"), value_at(F.ceil(place)).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))
     return picked.select(*group, "prob", "n", value.alias("value"))
 
 
