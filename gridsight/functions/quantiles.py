@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridsight.functions.parsing import measures
-from gridsight.functions.scale import is_small
+from gridsight.functions.scale import broadcast_checked, is_small, saved
 
 ACCURACY = 100_000
 
@@ -50,6 +50,8 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[
         sketch.select(*group, "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "b"))
         .select(*group, "n", prob.alias("prob"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     )
+    # Without keys there are columns x probs brackets; with keys their number is checked.
+    bracket = broadcast_checked(saved(bracket)) if keys else F.broadcast(bracket)
     # Rounding ranks may still ask for the value just outside the bracket, so the rows
     # below keep their largest value and the rows above their smallest.
     side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)

@@ -39,6 +39,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    Meant for already checkpointed or cheap aggregates: it counts up to ``rows + 1``.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def row_numbers(df: DataFrame, order: list[Column], name: str = "rank", small: int | None = None) -> DataFrame:
     """1-based position of every row in a total order over the whole frame.
 
@@ -103,4 +114,4 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str, name
     overall = ordered.withColumn(name, before + F.sum(weight).over(inside)).drop("_part")
     # A key's own start is its smallest running sum less that row's weight.
     begins = overall.groupBy(*keys).agg(F.min(F.col(name) - F.col(weight)).alias("_begin"))
-    return overall.join(begins, keys).withColumn(name, F.col(name) - F.col("_begin")).drop("_begin")
+    return overall.join(broadcast_checked(begins), keys).withColumn(name, F.col(name) - F.col("_begin")).drop("_begin")

@@ -67,7 +67,8 @@ def spearman(df: DataFrame, columns: list[str], with_p: bool = True, small: int
     sizes = joint.groupBy("pair").agg(F.sum("copies").alias("n"))
     # The mean rank is (n + 1) / 2 on both sides.
     w, dx, dy = F.col("copies"), F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2
-    moments = joint.join(left, ["pair", "x"]).join(right, ["pair", "y"]).join(sizes, "pair").groupBy("pair", "n").agg(
+    # One size per pair of columns.
+    moments = joint.join(left, ["pair", "x"]).join(right, ["pair", "y"]).join(F.broadcast(sizes), "pair").groupBy("pair", "n").agg(
         F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
     names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])[F.col("pair")]
     r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
