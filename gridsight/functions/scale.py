@@ -16,8 +16,15 @@ SMALL_PLAN_BYTES = 64 * 1024 * 1024
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes a plan produces."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of the bytes a plan produces.
+
+    Estimates multiply with every join and may pass any number's size; such a plan
+    counts as large.
+    """
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:
+        return 1 << 62
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
@@ -50,6 +57,17 @@ def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+SORT_ROWS = 1_000_000
+ALWAYS = 1 << 63
+
+
+def counted_limit(fixed: DataFrame, small: int | None = None) -> int:
+    """A size limit for a checkpointed frame, decided by its row count, not an estimate."""
+    if small == 0:
+        return 0
+    return ALWAYS if fixed.limit(SORT_ROWS + 1).count() <= SORT_ROWS else 0
+
+
 def row_numbers(df: DataFrame, order: list[Column], name: str = "rank", small: int | None = None) -> DataFrame:
     """1-based position of every row in a total order over the whole frame.
 
