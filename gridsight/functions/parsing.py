@@ -116,21 +116,18 @@ def cells(df: DataFrame, columns: list[str] | None = None, keep: list[str] = ())
     map-side combining leaves one row per column and task.
     """
     columns = columns or df.columns
-    typed = df.select(
-        *[F.col(f"`{k}`") for k in keep],
-        *[F.when(~missing(df, c), as_text(df, c)).alias(f"_cell_{i}") for i, c in enumerate(columns)],
-    )
-    long = typed.unpivot(list(keep), [f"_cell_{i}" for i in range(len(columns))], "_slot", "value")
-    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"_cell_{i}", c)])
-    return long.select(*keep, names[F.col("_slot")].alias("column"), "value")
+    return _unpivoted(df, columns, [F.when(~missing(df, c), as_text(df, c)) for c in columns], keep, "value")
+
+
+def _unpivoted(df: DataFrame, columns: list[str], values: list[Column], keep: list[str], name: str) -> DataFrame:
+    """Columns as rows of ``column`` and a value; kept columns step aside meanwhile."""
+    held = [f"_kept_{i}" for i in range(len(keep))]
+    wide = df.select(*[F.col(f"`{k}`").alias(h) for k, h in zip(keep, held)],
+                     *[value.alias(c) for c, value in zip(columns, values)])
+    long = wide.unpivot(held, [f"`{c}`" for c in columns], "column", name)
+    return long.select(*[F.col(h).alias(k) for k, h in zip(keep, held)], "column", name)
 
 
 def measures(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """One row per number: ``column``, ``x``, plus ``keep``; missing cells are dropped."""
-    typed = df.select(
-        *[F.col(f"`{k}`") for k in keep],
-        *[number(df, c).alias(f"_x_{i}") for i, c in enumerate(columns)],
-    )
-    long = typed.unpivot(list(keep), [f"_x_{i}" for i in range(len(columns))], "_slot", "x")
-    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"_x_{i}", c)])
-    return long.where(F.col("x").isNotNull()).select(*keep, names[F.col("_slot")].alias("column"), "x")
+    return _unpivoted(df, columns, [number(df, c) for c in columns], keep, "x").where(F.col("x").isNotNull())

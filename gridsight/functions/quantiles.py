@@ -28,13 +28,20 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], keys: list[
     group = [*keys, "column"]
     wanted = [float(p) for p in probs]
     if is_small(df, small):
-        one = long.groupBy(*group).agg(
-            F.count("*").alias("n"),
-            F.percentile("x", F.array(*[F.lit(p) for p in wanted])).alias("v"),
-        )
-        return one.select(*group, "n", F.posexplode("v").alias("i", "value")).select(
-            *group, F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("i") + 1).alias("prob"),
-            "n", "value")
+        # Count equal values, then read the order statistics off their running counts.
+        counted = long.groupBy(*group, "x").agg(F.count("*").alias("copies"))
+        upto = W.partitionBy(*group).orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+        ranked = (counted.withColumn("last", F.sum("copies").over(upto) - 1)
+                  .withColumn("n", F.sum("copies").over(W.partitionBy(*group))))
+        at = lambda rank: F.max(F.when((F.col("last") - F.col("copies") < rank) & (F.col("last") >= rank), F.col("x")))
+        ends = []
+        for p in wanted:
+            place = F.lit(p) * (F.col("n") - 1)
+            ends.append(F.struct(F.lit(p).alias("prob"), at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b")))
+        one = ranked.groupBy(*group, "n").agg(F.array(*ends).alias("v")).select(*group, "n", F.explode("v").alias("v"))
+        place = F.col("v.prob") * (F.col("n") - 1)
+        return one.select(*group, F.col("v.prob").alias("prob"), "n",
+                          (F.col("v.a") + (F.col("v.b") - F.col("v.a")) * (place - F.floor(place))).alias("value"))
 
     # The sketch is off by at most n / ACCURACY ranks, half the slack.
     slack = 2.0 / ACCURACY

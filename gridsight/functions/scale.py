@@ -46,6 +46,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an iterative fit over a scan of few splits.
+
+    Only a plan without a shuffle is looked at (asking it for its splits costs no job);
+    a table of more splits than cores, any large one, is left as it is.
+    """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 BROADCAST_ROWS = 100_000
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridsight.functions.parsing import number
 from gridsight.functions.quantiles import medians, quantile_values
+from gridsight.functions.scale import saved, spread
 
 CONTAMINATION = 0.05
 
@@ -148,7 +149,6 @@ def fit_forest(df: DataFrame, features: list[str], key: str, trees: int = 200, r
     )
     if keep_share < 1.0:
         drawn = drawn.where(F.pmod("_p", F.lit(1_000_000)) < int(keep_share * 1_000_000))
-    from pyspark.sql import Window as W
     order = W.partitionBy("tree").orderBy("_p", key)
     sample = drawn.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= rows).select("tree", "_i", *names)
     limit = int(np.ceil(np.log2(max(min(rows, total), 2))))
@@ -208,7 +208,7 @@ def score_forest(df: DataFrame, nodes: DataFrame, scaling: DataFrame, keep: list
     def score(*columns: pd.Series) -> pd.Series:
         return pd.Series(paths(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
-    frame = feature_frame(df, features, list(keep))
+    frame = spread(feature_frame(df, features, list(keep)))
     scaled = [(F.col(f"f{r['place']}") - r["mean"]) / r["deviation"] for r in plan]
     return frame.withColumn("anomaly_score", score(*scaled)).select(
         *keep, *[F.col(f"f{i}").alias(c) for i, c in enumerate(features) if c not in keep], "anomaly_score")
@@ -216,8 +216,9 @@ def score_forest(df: DataFrame, nodes: DataFrame, scaling: DataFrame, keep: list
 
 def forest_anomalies(scored: DataFrame, contamination: float = CONTAMINATION, small: int | None = None) -> DataFrame:
     """The share ``contamination`` of rows with the lowest scores, lowest first."""
-    cut = quantile_values(scored, ["anomaly_score"], [contamination], small)["anomaly_score"][contamination]
-    return scored.where(F.col("anomaly_score") < cut).orderBy("anomaly_score")
+    fixed = saved(scored)
+    cut = quantile_values(fixed, ["anomaly_score"], [contamination], small)["anomaly_score"][contamination]
+    return fixed.where(F.col("anomaly_score") < cut).orderBy("anomaly_score")
 
 
 # --- One-class boundary ------------------------------------------------------------
@@ -233,7 +234,8 @@ def one_class_boundary(df: DataFrame, features: list[str], keep: list[str] = (),
     """
     frame, names = feature_frame(df, features, list(keep), small), [f"f{i}" for i in range(len(features))]
     stats = _deviations(frame, names)
-    scaled = frame.select(*keep, *names, *[((F.col(n) - m) / (s or 1.0)).alias(f"z{i}") for i, (n, (m, s)) in enumerate(stats.items())])
+    # Every round reads the scaled rows; keep them where memory allows.
+    scaled = spread(frame).select(*keep, *names, *[((F.col(n) - m) / (s or 1.0)).alias(f"z{i}") for i, (n, (m, s)) in enumerate(stats.items())]).persist()
     columns = [f"z{i}" for i in range(len(names))]
     rng = np.random.default_rng(seed)
     # gamma = 1 / d on unit-variance features.
@@ -269,6 +271,7 @@ def one_class_boundary(df: DataFrame, features: list[str], keep: list[str] = (),
     def margin(*z: pd.Series) -> pd.Series:
         return pd.Series(project(np.column_stack([c.to_numpy(dtype=float) for c in z])) @ weights)
 
-    scored = scaled.withColumn("_margin", margin(*columns))
+    scored = saved(scaled.withColumn("_margin", margin(*columns)))
+    scaled.unpersist()
     cut = quantile_values(scored, ["_margin"], [nu], small)["_margin"][nu]
     return _report(scored, features, list(keep), F.col("_margin") < cut, F.lit(cut) - F.col("_margin"), F.lit(cut) - F.col("_margin"))

@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridsight.functions.scale import broadcast_checked, counted_limit, row_numbers, saved
+from gridsight.functions.scale import broadcast_checked, counted_limit, row_numbers, saved, spread
 from gridsight.operators.anomaly import _deviations, feature_frame
 from gridsight.operators.segment import risk_label
 
@@ -33,7 +33,7 @@ def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, s
 
     scaled, stats = _scaled(df, features, [], small)
     # Every round reads the vectors; keep them where memory allows.
-    vectors = _vector(len(features)).transform(scaled).select("features").persist()
+    vectors = _vector(len(features)).transform(spread(scaled)).select("features").persist()
     try:
         model = KMeans(k=k, seed=seed, maxIter=50, initSteps=5).fit(vectors)
     finally:
@@ -251,7 +251,7 @@ def ward(df: DataFrame, features: list[str], keep: list[str] = (), k: int = 3, m
     distinct = scaled.select(*z).distinct().limit(micro + 1).count()
     from pyspark.ml.clustering import KMeans
 
-    vectors = _vector(len(features)).transform(scaled)
+    vectors = _vector(len(features)).transform(spread(scaled))
     model = KMeans(k=max(2, min(micro, distinct)), seed=seed, maxIter=20).fit(vectors)
     grouped = model.transform(vectors).drop("features")
     rows = grouped.groupBy("prediction").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in z]).collect()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridsight.functions.parsing import as_text, kinds, missing, number
 from gridsight.functions.quantiles import medians
+from gridsight.functions.scale import spread
 
 MIN_CLASS_SIZE = 20
 TEST_SHARE = 5  # one row in five
@@ -52,6 +53,7 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
         if gaps:
             values = {c: 0.0 for c in gaps} if fill == "zero" else medians(rows, gaps, small)
             rows = rows.fillna({c: (0.0 if v is None else v) for c, v in values.items()})
+    rows = spread(rows)
     stages: list[Any] = [StringIndexer(inputCol=f"w_{c}", outputCol=f"i_{c}", handleInvalid="keep") for c in words]
     inputs = [f"n_{c}" for c in numeric] + [f"i_{c}" for c in words]
     if one_hot and words:

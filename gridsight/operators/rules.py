@@ -214,6 +214,7 @@ def mine_invariants(df: DataFrame, columns: list[str] | None = None, threshold:
     fewer distinct values are left out. ``top=None`` returns every relation found.
     """
     names = [c for c in (columns or numeric_columns(df)) if not re.search(V.EXPECTED_UNIQUE_NAME, c)]
+    names = _varied(df, names, max_flag_values)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
@@ -234,14 +235,11 @@ def mine_invariants(df: DataFrame, columns: list[str] | None = None, threshold:
     both = (ge >= threshold) & (le >= threshold)
     operator = F.when(both, "==").when(ge >= threshold, ">=").when(le >= threshold, "<=")
     slug = F.when(F.col("operator") == "==", "eq").when(F.col("operator") == ">=", "ge").otherwise("le")
-    varied = value_frequencies(df, names).groupBy("column").agg(F.count("value").alias("d")).where(F.col("d") > max_flag_values)
     out = (
         found.where(F.col("n") >= min_rows)
         .withColumn("operator", operator)
         .withColumn("holds", F.when(both, F.least(ge, le)).when(ge >= threshold, ge).otherwise(le))
         .where(F.col("operator").isNotNull())
-        .join(varied.select(F.col("column").alias("left_column")), "left_column", "left_semi")
-        .join(varied.select(F.col("column").alias("right_column")), "right_column", "left_semi")
         .withColumn("rule_key", F.concat(F.lit("auto_inferred_"), "left_column", F.lit("_"), slug, F.lit("_"), "right_column"))
         .orderBy(F.desc("holds"), "place")
         .select("left_column", "operator", "right_column", F.col("n").alias("records_checked"), "holds", "rule_key")
@@ -249,6 +247,22 @@ def mine_invariants(df: DataFrame, columns: list[str] | None = None, threshold:
     return out.limit(top) if top else out
 
 
+def _varied(df: DataFrame, names: list[str], few: int) -> list[str]:
+    """Columns of more than ``few`` distinct numbers.
+
+    Each pass finds every column's next larger value, one aggregate row, so nothing is
+    shuffled to count the distinct values of a wide-ranging column.
+    """
+    above: dict[str, float | None] = {c: None for c in names}
+    for _ in range(few + 1):
+        if not above:
+            break
+        value = lambda c: number(df, c) if above[c] is None else F.when(number(df, c) > above[c], number(df, c))
+        row = df.agg(*[F.min(value(c)).alias(f"v{i}") for i, c in enumerate(above)]).first()
+        above = {c: row[f"v{i}"] for i, c in enumerate(list(above)) if row[f"v{i}"] is not None}
+    return list(above)
+
+
 SEVERITY_ORDER = {"critical": 0, "warning": 1, "healthy": 2}
 
 

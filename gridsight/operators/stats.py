@@ -46,33 +46,42 @@ def _correlations(pairs: DataFrame, with_p: bool) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: list[str], with_p: bool = True, small: int | None = None) -> DataFrame:
-    """Rank correlation of every pair.
+    """Rank correlation of every pair over the rows where both are numbers.
 
-    Rows are counted per pair of values; a value's average rank is the number of rows
-    below it plus half its own. No row-level window and no sort of the table.
+    Pairs whose rows are the same (they miss the same columns' gaps) share one pass. A
+    value's average rank is the number of rows below it plus half its own, read off
+    value counts; ranks are joined back by value and all pairs correlate in one aggregate.
     """
     pairs = _pairs(columns)
-    both = F.array(*[F.struct(F.lit(i).alias("pair"), number(df, a).alias("x"), number(df, b).alias("y"))
-                     for i, (a, b) in enumerate(pairs)])
-    joint = (df.select(F.explode(both).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-             .groupBy("pair", "x", "y").agg(F.count("*").alias("copies")))
-    sides = joint.select("pair", "copies", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("x").alias("v")),
-        F.struct(F.lit(1).alias("side"), F.col("y").alias("v")))).alias("s")).select("pair", "s.*", "copies")
-    per_value = sides.groupBy("pair", "side", "v").agg(F.sum("copies").alias("w"))
-    upto = running_totals(per_value, ["pair", "side"], "v", "w", "upto", small=small)
-    ranks = upto.select("pair", "side", "v", (F.col("upto") - F.col("w") + (F.col("w") + 1) / 2).alias("rank"))
-    left = ranks.where(F.col("side") == 0).select("pair", F.col("v").alias("x"), F.col("rank").alias("rx"))
-    right = ranks.where(F.col("side") == 1).select("pair", F.col("v").alias("y"), F.col("rank").alias("ry"))
-    sizes = joint.groupBy("pair").agg(F.sum("copies").alias("n"))
-    # The mean rank is (n + 1) / 2 on both sides.
-    w, dx, dy = F.col("copies"), F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2
-    # One size per pair of columns.
-    moments = joint.join(left, ["pair", "x"]).join(right, ["pair", "y"]).join(F.broadcast(sizes), "pair").groupBy("pair", "n").agg(
-        F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])[F.col("pair")]
-    r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
-    return _correlations(moments.select(names["a"].alias("column_a"), names["b"].alias("column_b"), "n", r.alias("r")), with_p)
+    numbers = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    holes = numbers.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"x{i}") for i in range(len(columns))]).first()
+    gappy = {c for i, c in enumerate(columns) if holes[f"x{i}"]}
+    groups: dict[frozenset[str], list[tuple[str, str]]] = {}
+    for pair in pairs:
+        groups.setdefault(frozenset(gappy & set(pair)), []).append(pair)
+    out = None
+    for gaps, members in groups.items():
+        part = _rank_correlations(numbers, columns, sorted(gaps), members, small)
+        out = part if out is None else out.unionByName(part)
+    return _correlations(out, with_p)
+
+
+def _rank_correlations(numbers: DataFrame, columns: list[str], gaps: list[str], pairs: list[tuple[str, str]], small: int | None) -> DataFrame:
+    """Correlation of the average ranks of each pair over the rows without the gaps."""
+    names = {c: f"x{columns.index(c)}" for pair in pairs for c in pair}
+    kept = numbers.select(*names.values())
+    if gaps:
+        kept = kept.dropna(subset=[names[c] for c in gaps])
+    values = kept.select(F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("v")) for n in names.values()])).alias("s")).select("s.*")
+    counts = values.groupBy("side", "v").agg(F.count("*").alias("w"))
+    ranks = running_totals(counts, ["side"], "v", "w", "upto", small=small).select(
+        "side", "v", (F.col("upto") - F.col("w") + (F.col("w") + 1) / 2).alias("rank"))
+    for n in names.values():
+        mine = ranks.where(F.col("side") == n).select(F.col("v").alias(n), F.col("rank").alias(f"r{n}"))
+        kept = kept.join(mine, n)
+    one = kept.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"r{names[a]}", f"r{names[b]}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select("n", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*", "n")
 
 
 def distribution(df: DataFrame, metric: str, small: int | None = None) -> DataFrame:
