@@ -8,6 +8,7 @@ the distributed form; both give the same answer.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -32,18 +33,29 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return limit > 0 and plan_bytes(df) <= limit
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where a session names
-    none, as in tests, a temporary one is set.
+    Only where a session names none, as in tests, a temporary one is set.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridsight-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="gridsight-shared-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows once to the shared folder and read them back.
+
+    Unlike an eager checkpoint this computes the rows once, keeps them columnar, and
+    leaves the optimizer with their true size. It survives the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gridsight/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -65,7 +77,7 @@ BROADCAST_ROWS = 100_000
 def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame marked for broadcast if it has at most ``rows`` rows, else as it is.
 
-    Meant for already checkpointed or cheap aggregates: it counts up to ``rows + 1``.
+    Meant for saved frames or cheap aggregates: it counts up to ``rows + 1``.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -75,7 +87,7 @@ ALWAYS = 1 << 63
 
 
 def counted_limit(fixed: DataFrame, small: int | None = None) -> int:
-    """A size limit for a checkpointed frame, decided by its row count, not an estimate."""
+    """A size limit for a saved frame, decided by its row count, not an estimate."""
     if small == 0:
         return 0
     return ALWAYS if fixed.limit(SORT_ROWS + 1).count() <= SORT_ROWS else 0
@@ -84,7 +96,7 @@ def counted_limit(fixed: DataFrame, small: int | None = None) -> int:
 def row_numbers(df: DataFrame, order: list[Column], name: str = "rank", small: int | None = None) -> DataFrame:
     """1-based position of every row in a total order over the whole frame.
 
-    Large frames are range-sorted once and checkpointed, so that the partition a row
+    Large frames are range-sorted once and saved, so that the partition a row
     is in cannot change; a row's number is its place in the partition plus the rows in
     the partitions before it. Only one count per partition reaches the driver.
     """
@@ -127,7 +139,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str, name
     """Adds the running sum of ``weight`` in the order of a column, within ``keys``.
 
     The rows must be distinct in ``keys`` and ``order`` (already counted). A large frame
-    is range-sorted over keys and order together and checkpointed; each part sums its
+    is range-sorted over keys and order together and saved; each part sums its
     own rows and adds the totals of the parts before it, so no key needs one task.
     """
     if is_small(df, small):
@@ -143,6 +155,8 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str, name
     before = F.element_at(F.array(*[F.lit(s) for s in starts or [0]]).cast("array<bigint>"), (F.col("_part") + 1).cast("int"))
     inside = W.partitionBy("_part").orderBy(*keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
     overall = ordered.withColumn(name, before + F.sum(weight).over(inside)).drop("_part")
+    if not keys:
+        return overall
     # A key's own start is its smallest running sum less that row's weight.
     begins = overall.groupBy(*keys).agg(F.min(F.col(name) - F.col(weight)).alias("_begin"))
     return overall.join(broadcast_checked(begins), keys).withColumn(name, F.col(name) - F.col("_begin")).drop("_begin")

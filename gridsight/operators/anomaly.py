@@ -18,11 +18,16 @@ from gridsight.functions.scale import saved, spread
 CONTAMINATION = 0.05
 
 
+def _usable(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    numbers = [number(df, c).alias(f"f{i}") for i, c in enumerate(features)]
+    any_value = F.coalesce(*[F.col(f"f{i}") for i in range(len(features))])
+    return df.select(*keep, *numbers).where(any_value.isNotNull())
+
+
 def feature_frame(df: DataFrame, features: list[str], keep: list[str] = (), small: int | None = None) -> DataFrame:
     """``keep…`` and ``f0, f1, …``: usable rows with gaps filled by medians."""
     names = [f"f{i}" for i in range(len(features))]
-    kept = df.select(*keep, *[number(df, c).alias(n) for c, n in zip(features, names)]).where(
-        F.coalesce(*[F.col(n) for n in names]).isNotNull())
+    kept = _usable(df, features, keep)
     holes = kept.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
     gaps = [n for n in names if holes[n]]
     if not gaps:
@@ -76,8 +81,11 @@ def iqr(df: DataFrame, features: list[str], keep: list[str] = (), multiplier: fl
 def modified_zscore(df: DataFrame, features: list[str], keep: list[str] = (), threshold: float = 3.5,
                     small: int | None = None) -> DataFrame:
     """Deviation from the median in units of the median absolute deviation."""
-    frame, names = feature_frame(df, features, keep, small), [f"f{i}" for i in range(len(features))]
-    middle = medians(frame, names, small)
+    names = [f"f{i}" for i in range(len(features))]
+    raw = _usable(df, features, list(keep))
+    # Filling gaps with the median leaves the median where it is: one pass serves both.
+    middle = medians(raw, names, small)
+    frame = raw.fillna({n: v for n, v in middle.items() if v is not None})
     away = frame.select(*[F.abs(F.col(n) - middle[n]).alias(n) for n in names])
     mad = medians(away, names, small)
     z = [F.abs(0.6745 * (F.col(n) - middle[n]) / mad[n]) if mad[n] else F.lit(0.0) for n in names]

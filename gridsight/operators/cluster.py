@@ -26,7 +26,7 @@ def _vector(count: int):
     return VectorAssembler(inputCols=[f"z{i}" for i in range(count)], outputCol="features")
 
 
-def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, small: int | None = None) -> DataFrame:
+def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, rounds: int = 20, small: int | None = None) -> DataFrame:
     """Cluster centres as a table: ``cluster``, one column per feature, ``mean_i`` and
     ``deviation_i`` of the scaling. Clusters are numbered in the order of their centres."""
     from pyspark.ml.clustering import KMeans
@@ -35,7 +35,7 @@ def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, s
     # Every round reads the vectors; keep them where memory allows.
     vectors = _vector(len(features)).transform(spread(scaled)).select("features").persist()
     try:
-        model = KMeans(k=k, seed=seed, maxIter=50, initSteps=5).fit(vectors)
+        model = KMeans(k=k, seed=seed, maxIter=rounds).fit(vectors)
     finally:
         vectors.unpersist()
     moments = list(stats.values())
@@ -214,7 +214,7 @@ def _components(cells: DataFrame, links: DataFrame, cell_key: list[str]) -> Data
 
     A round takes the least label among a cell and its neighbours, then the label of
     the cell that label came from, so the rounds grow with the logarithm of the
-    longest chain. Each round is checkpointed.
+    longest chain. Each round is saved.
     """
     both = links.select(*[F.col(f"x_{c}").alias(c) for c in cell_key], F.array(*[F.col(f"y_{c}") for c in cell_key]).alias("next")).unionByName(
         links.select(*[F.col(f"y_{c}").alias(c) for c in cell_key], F.array(*[F.col(f"x_{c}") for c in cell_key]).alias("next")))

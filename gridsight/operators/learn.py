@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridsight.functions.parsing import as_text, kinds, missing, number
 from gridsight.functions.quantiles import medians
-from gridsight.functions.scale import spread
+from gridsight.functions.scale import saved, spread
 
 MIN_CLASS_SIZE = 20
 TEST_SHARE = 5  # one row in five
+BINS = 64
+MAX_LEVELS = 10_000
 
 
 @dataclass
@@ -22,6 +24,7 @@ class Prepared:
     rows: DataFrame
     columns: list[str]
     stages: list[Any]
+    bins: int
 
 
 def fold_of(key: list[str], folds: int = TEST_SHARE, seed: int = 42) -> Column:
@@ -53,14 +56,23 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
         if gaps:
             values = {c: 0.0 for c in gaps} if fill == "zero" else medians(rows, gaps, small)
             rows = rows.fillna({c: (0.0 if v is None else v) for c, v in values.items()})
-    rows = spread(rows)
+    bins = BINS
+    if words and not one_hot:
+        # Trees split a category by its levels, so there must be a bin for each.
+        levels = rows.agg(*[F.count_distinct(f"w_{c}").alias(f"l_{i}") for i, c in enumerate(words)]).first()
+        bins = max(BINS, 2 + max(levels[f"l_{i}"] for i in range(len(words))))
+        wide = [c for i, c in enumerate(words) if levels[f"l_{i}"] > MAX_LEVELS]
+        if wide:
+            raise ValueError(f"too many levels for a category (over {MAX_LEVELS}): {wide}")
+    # Every stage and fold reads the prepared rows.
+    rows = saved(spread(rows))
     stages: list[Any] = [StringIndexer(inputCol=f"w_{c}", outputCol=f"i_{c}", handleInvalid="keep") for c in words]
     inputs = [f"n_{c}" for c in numeric] + [f"i_{c}" for c in words]
     if one_hot and words:
         stages.append(OneHotEncoder(inputCols=[f"i_{c}" for c in words], outputCols=[f"o_{c}" for c in words], dropLast=False))
         inputs = [f"n_{c}" for c in numeric] + [f"o_{c}" for c in words]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Prepared(rows, numeric + words, stages)
+    return Prepared(rows, numeric + words, stages, bins)
 
 
 def merged_classes(df: DataFrame, target: str, smallest: int = MIN_CLASS_SIZE) -> Column:
@@ -111,9 +123,8 @@ def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[st
     labels = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     common = {"featuresCol": "features", "labelCol": "label", "seed": 42}
     stages = list(prepared.stages)
-    bins = 32
     if method == "gbt":
-        base = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=depth or 5, subsamplingRate=0.8, maxBins=max(bins, 256), weightCol="weight", **common)
+        base = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=depth or 5, subsamplingRate=0.8, maxBins=prepared.bins, weightCol="weight", **common)
         several = len(labels.labels) > 2
         learner = OneVsRest(classifier=base, labelCol="label", featuresCol="features", weightCol="weight") if several else base
     elif method == "rf":
@@ -174,7 +185,6 @@ def predicted_driver(predictions: DataFrame) -> DataFrame:
 def fit_regressor(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
                   depth: int | None = None, small: int | None = None, holdout: int = 0) -> Fitted:
     """Boosted trees (categories native) or a random forest (one-hot) on four of five folds."""
-    from pyspark.ml.feature import VectorIndexer
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     prepared = prepare(df, features, key, number(df, target), one_hot=method == "rf", small=small)
@@ -183,8 +193,7 @@ def fit_regressor(df: DataFrame, target: str, features: list[str], key: list[str
         raise ValueError(f"{method} needs at least {least} rows")
     stages = list(prepared.stages)
     if method == "gbt":
-        stages.append(VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=32, handleInvalid="keep"))
-        learner = GBTRegressor(featuresCol="indexed", labelCol="target", maxIter=trees, stepSize=0.05, maxDepth=depth or 5, maxBins=256, seed=42)
+        learner = GBTRegressor(featuresCol="features", labelCol="target", maxIter=trees, stepSize=0.05, maxDepth=depth or 5, maxBins=prepared.bins, seed=42)
     else:
         learner = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth or 10, seed=42)
     rows = prepared.rows

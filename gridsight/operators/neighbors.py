@@ -48,7 +48,7 @@ def weighted_points(frame: DataFrame, names: list[str]) -> DataFrame:
 
 
 def blocked_points(points: DataFrame, names: list[str], block: int = BLOCK, small: int | None = None) -> DataFrame:
-    """Adds a point number and its block along the curve; checkpointed."""
+    """Adds a point number and its block along the curve; saved."""
     ends = points.agg(*[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]).first()
     low = {n: ends[f"lo_{n}"] for n in names}
     side = max((ends[f"hi_{n}"] - ends[f"lo_{n}"] for n in names), default=0.0) or 1.0

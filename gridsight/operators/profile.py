@@ -181,10 +181,12 @@ def representative_values(df: DataFrame, columns: list[str] | None = None, top:
     sends at most ``top`` values per column.
     """
     freq = frequencies if frequencies is not None else value_frequencies(df, columns)
-    best = W.partitionBy("column").orderBy(F.desc("copies"), F.asc("value"))
+    # Nulls sort last and leave after the cut, so that the counts beneath are the very
+    # ones other parts of a profile use and are computed once.
+    best = W.partitionBy("column").orderBy(F.col("value").isNull(), F.desc("copies"), F.asc("value"))
     return (
-        freq.where(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+        freq.withColumn("rank", F.row_number().over(best))
+        .where((F.col("rank") <= top) & F.col("value").isNotNull())
         .select("column", "value", "copies", "rank")
     )
 

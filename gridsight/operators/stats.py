@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridsight.functions.parsing import as_text, missing, number
 from gridsight.functions.quantiles import quantiles
-from gridsight.functions.scale import running_totals, saved
+from gridsight.functions.scale import BROADCAST_ROWS, running_totals, saved
 from gridsight.functions.tails import p_value
 from gridsight.operators.charts import histogram
 
@@ -72,13 +72,17 @@ def _rank_correlations(numbers: DataFrame, columns: list[str], gaps: list[str],
     kept = numbers.select(*names.values())
     if gaps:
         kept = kept.dropna(subset=[names[c] for c in gaps])
-    values = kept.select(F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("v")) for n in names.values()])).alias("s")).select("s.*")
-    counts = values.groupBy("side", "v").agg(F.count("*").alias("w"))
-    ranks = running_totals(counts, ["side"], "v", "w", "upto", small=small).select(
-        "side", "v", (F.col("upto") - F.col("w") + (F.col("w") + 1) / 2).alias("rank"))
+    counts = None
+    for n in names.values():
+        mine = kept.groupBy(F.lit(n).alias("side"), F.col(n).alias("v")).agg(F.count("*").alias("w"))
+        counts = mine if counts is None else counts.unionByName(mine)
+    upto = running_totals(counts, ["side"], "v", "w", "upto", small=small)
+    ranks = saved(upto.select("side", "v", (F.col("upto") - F.col("w") + (F.col("w") + 1) / 2).alias("rank")))
+    sizes = {r["side"]: r["count"] for r in ranks.groupBy("side").count().collect()}
     for n in names.values():
         mine = ranks.where(F.col("side") == n).select(F.col("v").alias(n), F.col("rank").alias(f"r{n}"))
-        kept = kept.join(mine, n)
+        # Few distinct values: the ranks travel to the rows and the rows stay in place.
+        kept = kept.join(F.broadcast(mine) if sizes.get(n, 0) <= BROADCAST_ROWS else mine, n)
     one = kept.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"r{names[a]}", f"r{names[b]}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return one.select("n", F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*", "n")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from gridsight.functions.scale import shared_folder
 from gridsight.operators import profile, query as q
 from gridsight.plans.inputs import CARD, SALES, STAR
 from gridsight.queries.registry import prepared, query, table
@@ -60,8 +61,7 @@ WITH c AS (SELECT c_mktsegment AS value FROM customer)
 SELECT 'c_mktsegment' AS "column", count(*) AS row_count, count(DISTINCT value) AS distinct_count, 'run-1' AS run_id FROM c""")
 def profile_sink_roundtrip(spark, folder):
     counts = profile.column_counts(table(spark, folder, "customer").select("c_mktsegment"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridsight-results-")
-    root = f"{root.rstrip('/')}/gridsight_results"
+    root = f"{shared_folder(spark)}/gridsight_results/{uuid.uuid4().hex}"
     sinks.write_result(counts.select("column", "row_count", "distinct_count"), root, "column_profiles", "run-1")
     return sinks.read_result(spark, root, "column_profiles", "run-1")
 
