@@ -262,22 +262,95 @@ def described(spark, folder):
     return refine.described_columns(profile.column_profiles(card(spark, folder)))
 
 
-@query("semantic_roles")
+def _name_case(rules: list[tuple[str, str]], default: str) -> str:
+    tests = " ".join(f"WHEN regexp_matches(\"column\", '{p}') THEN '{t}'" for p, t in rules)
+    return f"CASE {tests} ELSE {default} END"
+
+
+_NAMED = lambda pattern: f"regexp_matches(\"column\", '{pattern}')"
+_CASES = [
+    ("grain", _name_case(V.IDENTIFIER_KINDS, "'identifier'"), "identifier", 0.90),
+    ("refined_type IN ('date', 'datetime')", _name_case(V.DATE_KINDS, "refined_type"), "temporal_dimension", 0.88),
+    ("refined_type = 'boolean'", _name_case(V.FLAG_KINDS, "'flag'"), "flag", 0.85),
+    ("refined_type = 'email'", "'email_address'", "dimension", 0.92),
+    ("refined_type = 'phone'", "'phone_number'", "dimension", 0.88),
+    ("refined_type = 'currency_code'", "'currency_code'", "dimension", 0.93),
+    ("refined_type = 'country_code'", "'country_code'", "dimension", 0.91),
+    ("refined_type = 'percentage'", "'percentage'", "metric", 0.85),
+    (f"refined_type IN ('integer', 'decimal') AND {_NAMED(V.METRIC_NAME)}", _name_case(V.METRIC_KINDS, "'monetary_amount'"), "metric", 0.85),
+    ("refined_type IN ('integer', 'decimal') AND cardinality_ratio <= 0.05 AND distinct_count <= 20", "'numeric_category'", "dimension", 0.70),
+    ("refined_type IN ('integer', 'decimal')", "'numeric_measure'", "metric", 0.65),
+    (f"refined_type IN ('categorical', 'text') AND {_NAMED('reason')} AND {_NAMED('decline|reject')}", "'decline_reason'", "dimension", 0.80),
+    (f"refined_type IN ('categorical', 'text') AND {_NAMED(V.DESCRIPTION_NAME)}", "'description'", "text_field", 0.78),
+    (f"refined_type = 'categorical' AND {_NAMED(V.STATUS_NAME)}", _name_case(V.STATUS_KINDS, "'status'"), "dimension", 0.82),
+    (f"refined_type = 'categorical' AND {_NAMED(V.GEO_NAME)}", _name_case(V.GEO_KINDS, "'geographic'"), "dimension", 0.80),
+    ("refined_type = 'categorical'", "'dimension'", "dimension", 0.70),
+    (f"refined_type = 'text' AND {_NAMED('name|title|label')}", "'name'", "dimension", 0.75),
+    ("refined_type = 'text'", "'text'", "text_field", 0.50),
+]
+_pick = lambda index, quote: "CASE " + " ".join(f"WHEN {c[0]} THEN {quote(c[index])}" for c in _CASES)
+ROLE_ROWS = f"""{PROFILE}, grains AS (SELECT *, identifier_score >= 0.6 AND cardinality_ratio >= 0.98 AS grain FROM scored),
+roles AS (SELECT *, {_pick(1, str)} END AS semantic_type, {_pick(2, lambda r: f"'{r}'")} ELSE 'unknown' END AS role,
+ {_pick(3, lambda v: f"CAST({v} AS DOUBLE)")} ELSE 0.3 END AS role_confidence FROM grains)"""
+
+
+@query("semantic_roles", f"""{ROLE_ROWS} SELECT "column", refined_type, semantic_type, role, role_confidence FROM roles""")
 def semantic_roles(spark, folder):
     return described(spark, folder).select("column", "refined_type", "semantic_type", "role", "role_confidence")
 
 
-@query("data_categories")
+def _points_sql(place: int, category: str) -> str:
+    """Points of one category for the customer domain, and where a tie puts it."""
+    w = V.CATEGORY_WEIGHTS
+    parts, ties = [], []
+    if category in V.CATEGORY_NAMES:
+        named = _NAMED(V.CATEGORY_NAMES[category])
+        parts.append(f"CASE WHEN {named} THEN {w['name_keyword_match']} ELSE 0 END")
+        ties.append(f"WHEN {named} THEN {place}")
+    parts.append(f"CASE WHEN by_type = '{category}' THEN {w['semantic_type_match']} ELSE 0 END")
+    ties.append(f"WHEN by_type = '{category}' THEN 100")
+    if category == "Time Series Data":
+        parts += [f"CASE WHEN role = 'temporal_dimension' THEN {w['column_role_match']} ELSE 0 END", f"CASE WHEN tim >= 0.9 THEN {w['datetime_parse_match']} ELSE 0 END"]
+    if category == "Master Data":
+        parts.append(f"CASE WHEN role = 'identifier' THEN {w['column_role_match']} ELSE 0 END")
+    if category in ("Time Series Data", "Master Data"):
+        ties.append("WHEN role IN ('temporal_dimension', 'identifier') THEN 200")
+    if category == "Customer Experience Data":
+        parts.append(str(w["domain_context_boost_weak"]))
+    return f"""SELECT "column", role, '{category}' AS category, round(CAST({' + '.join(parts)} AS DOUBLE), 4) AS points, CASE {' '.join(ties)} ELSE {300 + place} END AS place FROM kinds_"""
+
+
+CATEGORY_ROWS = f"""{ROLE_ROWS}, kinds_ AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(semantic_type, '{'|'.join(words)}') THEN '{c}'" for c, words in V.CATEGORY_TYPES)} END AS by_type FROM roles),
+pts AS ({' UNION ALL '.join(_points_sql(i, c) for i, c in enumerate(V.CATEGORIES))}),
+ranked AS (SELECT *, row_number() OVER w AS rank, first_value(points) OVER w AS top FROM pts WINDOW w AS (PARTITION BY "column" ORDER BY points DESC, place)),
+best AS (SELECT "column", max(category) FILTER (rank = 1) AS primary_category, max(top) AS top, max(points) FILTER (rank = 2 AND points > 0) AS second FROM ranked GROUP BY "column"),
+extra AS (SELECT "column", string_agg(category, '|' ORDER BY rank) AS cats FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY rank) AS k FROM ranked
+ WHERE rank > 1 AND points >= 0.3 AND points >= top * 0.5) x WHERE k <= 3 GROUP BY "column")
+SELECT b."column", primary_category, COALESCE(cats, '') AS secondary_categories,
+ round(least(1.0, least(1.0, top) + CASE WHEN round(top - second, 4) > 0.3 THEN 0.1 ELSE 0 END), 3) AS confidence FROM best b LEFT JOIN extra e ON b."column" = e."column" """
+
+
+@query("data_categories", CATEGORY_ROWS)
 def data_categories(spark, folder):
-    return refine.data_categories(described(spark, folder), "customer")
+    return refine.data_categories(described(spark, folder), "customer").withColumn("secondary_categories", F.array_join("secondary_categories", "|"))
 
 
-@query("secondary_domain")
+def _domain_sql(place: int, label: str, spec: dict) -> str:
+    words = "|".join(spec["keywords"])
+    fits = " OR ".join(f"contains(semantic_type, '{r}') OR contains('{r}', semantic_type)" for r in spec["semantic_roles"]) or "false"
+    return (f"SELECT {place} AS place, '{label}' AS domain, count(*) AS n, sum(CASE WHEN {_NAMED(words)} THEN 1.5 ELSE 0 END + CASE WHEN {fits} THEN 2.0 ELSE 0 END "
+            f"+ CASE WHEN len(list_filter(reps[1:5], lambda v: regexp_matches(lower(v), '{words}'))) > 0 THEN 0.5 ELSE 0 END) AS points FROM roles")
+
+
+@query("secondary_domain", f"""{ROLE_ROWS}, d AS ({' UNION ALL '.join(_domain_sql(i, k, v) for i, (k, v) in enumerate(V.DOMAINS['customer']['secondary_domains'].items()))}),
+s AS (SELECT place, domain, CAST(least(1.0, points / greatest(n * 4.0 * 0.15, 1.0)) AS DOUBLE) AS score FROM d)
+SELECT domain, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, place) AS rank, CASE WHEN score >= 0.75 THEN 'classified' WHEN score >= 0.5 THEN 'needs_review' ELSE 'unresolved' END AS status FROM s""")
 def secondary_domain(spark, folder):
     return refine.secondary_domains(described(spark, folder), "customer")
 
 
-@query("feature_split")
+@query("feature_split", f"""{ROLE_ROWS} SELECT "column", role, CASE WHEN grain THEN 'drop' WHEN role IN ('metric', 'dimension', 'temporal_dimension', 'flag') THEN 'keep' ELSE 'ignore' END AS decision,
+ CASE WHEN NOT grain AND role IN ('metric', 'dimension', 'temporal_dimension', 'flag') THEN 'high' END AS usefulness FROM roles""")
 def feature_split(spark, folder):
     return refine.feature_split(described(spark, folder))
 
