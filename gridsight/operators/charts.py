@@ -19,8 +19,12 @@ def aggregate_of(value: Column, method: str) -> Column:
 
 
 def _tidy(value: Column) -> Column:
-    """A group without any number shows 0, never null or NaN."""
-    return F.round(F.coalesce(value, F.lit(0.0)), 2)
+    """Two decimals; a group without any number shows 0, never null or NaN.
+
+    A mean may fall exactly between two cents. Rounding away the last digits first keeps
+    the order of summation from deciding which way it goes.
+    """
+    return F.round(F.round(F.coalesce(value, F.lit(0.0)), 9), 2)
 
 
 def categorical_chart(df: DataFrame, dimension: str, metric: str | None = None, method: str = "sum",

@@ -127,7 +127,8 @@ def chart_categorical(spark, folder):
 
 
 @query("chart_stacked", f"""WITH s AS ({SALES}), top AS (SELECT n_name FROM s GROUP BY n_name ORDER BY avg(o_totalprice) DESC, n_name LIMIT 15)
-SELECT n_name AS label, o_orderstatus AS series, round(avg(o_totalprice), 2) AS value FROM s WHERE n_name IN (SELECT n_name FROM top) GROUP BY n_name, o_orderstatus""")
+SELECT n_name AS label, o_orderstatus AS series, (2 * sum(CAST(round(o_totalprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) / 100.0 AS value
+ FROM s WHERE n_name IN (SELECT n_name FROM top) GROUP BY n_name, o_orderstatus""")
 def chart_stacked(spark, folder):
     return charts.categorical_chart(prepared(spark, folder, SALES), "n_name", "o_totalprice", "mean", series="o_orderstatus")
 
