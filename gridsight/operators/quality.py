@@ -104,6 +104,8 @@ def reference_integrity(df: DataFrame, column: str, reference: DataFrame, refere
 def freshness(df: DataFrame, column: str, as_of: str, max_age_days: float) -> DataFrame:
     """One row: newest moment, its age at ``as_of`` and whether it meets the SLA."""
     newest = F.max(moment(df, column))
-    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / 86_400_000_000
+    # Wall-clock times: the difference must not depend on the session's time zone.
+    passed = (F.lit(as_of).cast("timestamp_ntz") - F.col("newest")).cast("interval second")
+    age = passed.cast("decimal(20,6)").cast("double") / 86_400
     return df.agg(newest.alias("newest")).select(
         "newest", age.alias("age_days"), F.when(age <= max_age_days, 1.0).otherwise(0.0).alias("score"))
