@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridsight.llm import decontaminate, simhash
+from gridsight.llm import bpe, decontaminate, simhash
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -20,6 +21,17 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+def token_digests(documents: DataFrame) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    both = bpe.decode(bpe.encode(documents, ranks, public_tokenizers.PATTERN), ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op4_byte_bpe")
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"))
+
+
 @_query("op7_simhash_anchors")
 def simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
