@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridsight.llm import bpe, decontaminate, simhash
+from gridsight.llm import bpe, decontaminate, language, quality, simhash
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -38,6 +38,30 @@ def simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def languages(documents: DataFrame) -> DataFrame:
+    """The documents with ``lang_pred`` and ``score`` of a model learned from their own held-in rows."""
+    model = language.fit(documents, ~language.held_out(F.col("doc_id"), 5, 0))
+    return language.predict(documents, model)
+
+
+@_query("op8_ftrl_language_id")
+def ftrl_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = languages(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def qualities(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents with ``score`` and ``predicted`` of a model learned from held-in labels."""
+    model = quality.fit(documents, labels, ~language.held_out(F.col("doc_id"), 4, 2))
+    return quality.predict(documents, model)
+
+
+@_query("op9_additive_quality")
+def additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = qualities(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return found.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 @_query("op10_fm_index_decontamination")
 def fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
