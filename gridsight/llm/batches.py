@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 # Bytes of text that one call of a function works on.
 PIECE_BYTES = 4_000_000
@@ -27,9 +28,9 @@ def only(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
-def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch of (key, text) in slices of at most ``limit`` bytes of text, or one longer row."""
-    ends = text_bytes(batch.column(1))[1][1:]
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``limit`` bytes of text in one column, or one longer row."""
+    ends = text_bytes(batch.column(column))[1][1:]
     begin = done = 0
     while begin < batch.num_rows:
         end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
@@ -37,11 +38,12 @@ def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.Recor
         begin, done = end, int(ends[end - 1])
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = PIECE_BYTES) -> DataFrame:
-    """Apply a function to slices of (key, text), so that its memory does not depend on how Spark cuts batches."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, limit: int = PIECE_BYTES,
+              column: int = 1) -> DataFrame:
+    """Apply a function to slices by the size of one text column, so that its memory does not depend on how Spark cuts batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, limit):
+            for piece in pieces(batch, limit, column):
                 yield function(piece)
     return df.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from gridsight.llm.batches import Words, lists, map_arrow, only
 from gridsight.llm.fmindex import FMIndex
@@ -22,7 +22,7 @@ WINDOW = 10
 BLOCK_BYTES = 1_000_000
 SHARD_BYTES = 6_000_000
 
-FOUND = "key {key}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:bigint,last:bigint>>"
+FOUND = {"n_words": "bigint", "n_hit": "bigint", "items": "array<string>", "spans": "array<struct<first:bigint,last:bigint>>"}
 
 
 class Phrases:
@@ -98,21 +98,23 @@ def _search(words: Words, hashes: np.ndarray, phrases: Phrases) -> tuple[np.ndar
 
 
 def find_passages(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Words of documents inside an occurrence of ``window`` consecutive benchmark words.
 
-    Returns a row per document: its key, ``n_words``, ``n_hit``, ``items`` (sorted ids, as
+    Returns a row per document: its key (all its columns if ``carry``), ``n_words``, ``n_hit``, ``items`` (sorted ids, as
     text, of the items with occurring windows) and merged ``spans`` of word numbers, last one
     excluded. An item of fewer words is one window; one without words has none. Null texts are
     empty; documents with equal or null keys are separate rows; an item without id hits but is
-    in no list; columns other than these are ignored. Empty tables give no rows or no hits.
+    in no list; carried columns named as the new ones are replaced. Empty tables give no rows or no hits.
     """
     spark = documents.sparkSession
     blocks = [spark.sparkContext.broadcast(vars(Phrases(ids, texts, window))) for ids, texts in phrase_blocks(benchmark, item, item_text, block_bytes)]
-    source = only(documents, key, text)
+    kept = [c for c in documents.columns if c not in FOUND] if carry else [key]
+    source = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
+    schema = source.drop("_text").withColumns({name: F.lit(None).cast(kind) for name, kind in FOUND.items()}).schema
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(1))
+        words = Words(batch.column(len(kept)))
         hashes = words.hashes()
         docs = batch.num_rows
         cover = np.zeros(len(words) + 1, np.int64)
@@ -146,11 +148,10 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         pairs = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["first", "last"])
         offsets = pa.array(np.concatenate([[0], np.cumsum(spans_of)]).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(words.counts(), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
-             pa.ListArray.from_arrays(offsets, pairs)], ["key", "n_words", "n_hit", "items", "spans"])
+            [*batch.columns[:-1], pa.array(words.counts(), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
+             pa.ListArray.from_arrays(offsets, pairs)], [*kept, *FOUND])
 
-    found = map_arrow(source, search, FOUND.format(key=source.schema["key"].dataType.simpleString()), SHARD_BYTES)
-    return found.withColumnRenamed("key", key)
+    return map_arrow(source, search, schema, SHARD_BYTES, len(kept))
 
 
 def _covered(first: np.ndarray, length: np.ndarray) -> np.ndarray:
