@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridsight.llm import bpe, decontaminate, language, quality, simhash
+from gridsight.llm import bpe, decontaminate, language, quality, simhash, warc
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -21,6 +21,13 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op3_warc_members")
+def warc_members(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, folder, "pages")), payloads=False)
+    return found.select(warc.page_of("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        warc.page_of("refers_to").cast("bigint").alias("refers_to"))
+
+
 def token_digests(documents: DataFrame) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     both = bpe.decode(bpe.encode(documents, ranks, public_tokenizers.PATTERN), ranks)
