@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridsight.llm import bpe, decontaminate, language, quality, simhash, warc
+from gridsight.functions.scale import saved
+from gridsight.llm import bpe, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -21,6 +22,50 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BASES = """CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+            WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END"""
+# The templates as regular expressions over the words of a text, each with a space before and after it.
+_NOTICES = {
+    "mit-notice": "(released|licensed) under the (terms of the )?mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+                "(the software )?to deal in the software without restriction",
+    "apache-2.0": "licensed under the apache license version 2 0",
+    "gpl-2.0": "licensed under the (terms of the )?(gnu )?general public license version 2",
+    "gpl-3.0": "licensed under the (terms of the )?(gnu )?general public license version 3",
+    "gpl-text": "under the terms of the gnu general public license as published by the free software foundation",
+    "cc-by-4.0": "licensed under (a )?(the )?cc by 4 0",
+    "cc-by-nc-4.0": "licensed under (a )?(the )?cc by nc 4 0",
+    "cc-by-sa-4.0": "licensed under (a )?(the )?cc by sa 4 0",
+    "cc-named": "licensed under (a )?(the )?creative commons attribution ([^ ]+ ){0,3}license",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+                "conditions are met",
+    "isc-text": "permission to use copy modify (and )?(or )?distribute this software for any purpose with or without fee is hereby granted",
+    "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
+    "spdx": "spdx license identifier [^ ]+",
+    "rights-reserved": "copyright (c )?([^ ]+ ){1,8}all rights reserved",
+}
+_NOTICE_SQL = ", ".join(f"CASE WHEN regexp_matches(' ' || array_to_string(w, ' ') || ' ', ' {p} ') THEN '{n}' END" for n, p in _NOTICES.items())
+
+
+@_query("op2_license_templates", f"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT *, list_filter(list_transform(range(1, len(w)), lambda i: {{'at': i - 1, 'label': {_BASES}}}), lambda x: x.label IS NOT NULL) AS p,
+                  list_filter([{_NOTICE_SQL}], lambda n: n IS NOT NULL) AS notices FROM words),
+found AS (SELECT *, list_transform(p, lambda x: x.label) AS bases FROM places)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word,
+       CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(bases)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(bases, notices))), ',') AS labels,
+       CASE WHEN len(notices) > 0 THEN 1.0::DOUBLE WHEN len(p) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM found""")
+def license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    bases, notices = F.col("bases.label"), F.col("matches.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select("doc_id", "n_words", F.size("bases").cast("bigint").alias("n_base"), F.array_min("bases.first").alias("first_word"),
+                        F.array_max("bases.first").alias("last_word"), joined(bases).alias("base_labels"), joined(F.concat(bases, notices)).alias("labels"),
+                        F.when(F.size("matches") > 0, 1.0).when(F.size("bases") > 0, 0.5).otherwise(0.0).alias("score"))
+
+
 @_query("op3_warc_members")
 def warc_members(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.read(warc.write(table(spark, folder, "pages")), payloads=False)
@@ -39,6 +84,43 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
 
 
+@_query("op5_merkle_fingerprints")
+def merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = merkle.following(table(spark, folder, "documents")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
+    found = merkle.compare(rows.withColumn("edited", edited), "text", ["edited", "next_text"])
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("text_root").alias("fingerprint"),
+                        F.col("edited_root").alias("edited_fingerprint"), F.col("edited_likeness").alias("near_edited"),
+                        F.col("next_text_likeness").alias("near_next"))
+
+
+@_query("op6_token_rollups", """
+WITH texts AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+kept AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS n FROM texts),
+counts AS (SELECT source, lang, 'space-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens FROM kept WHERE n = 1
+           UNION ALL SELECT source, lang, 'bytes-1', strlen(t) FROM kept WHERE n = 1)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM counts GROUP BY source, lang, tokenizer""")
+def token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """First counts are estimates, the second batch revises them and adds a version, the third deletes copies of texts."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("key"), "source", "lang", (F.col("n_chars") / 6).cast("bigint").alias("guess"), F.sha2(text, 256).alias("digest"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("words"), F.octet_length(text).cast("bigint").alias("bytes"))
+    docs = saved(docs)
+    change = lambda rows, op, tokenizer, count: rows.select(
+        "key", F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(count).alias("n_tokens"))
+    first = saved(docs.groupBy("digest").agg(F.min("key").alias("first")))
+    copies = docs.join(first, "digest").filter("key <> first")
+    exact = change(docs, "insert", "space-1", "words").unionByName(change(docs, "insert", "bytes-1", "bytes"))
+    ledger = rollups.TokenLedger(spark)
+    ledger.commit("estimates", change(docs, "insert", "space-1", "guess"))
+    ledger.commit("exact", exact)
+    ledger.commit("exact", exact)
+    ledger.commit("copies", change(copies, "delete", "space-1", "words").unionByName(change(copies, "delete", "bytes-1", "bytes")))
+    return ledger.totals()
+
+
 @_query("op7_simhash_anchors")
 def simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
