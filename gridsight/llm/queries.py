@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridsight.functions.scale import saved
-from gridsight.llm import bpe, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc
+from gridsight.llm import bpe, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -22,6 +22,12 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_html_wrappers")
+def html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    found = wrappers.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BASES = """CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
             WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END"""
