@@ -256,13 +256,13 @@ def flat(kids: list[Node]) -> list[Node]:
     return [inner for kid in kids for inner in (flat(kid.kids) if kid.key == "()" else [kid])]
 
 
-def slots(node: Node, path: tuple[str, ...] = ()) -> list[tuple[int, tuple[str, ...]]]:
-    """Number and path of every text slot."""
-    own = (*path, node.key)
-    found = [(node.number, path)] if node.key == "#" else []
-    for kid in flat(node.kids):
-        found += slots(kid, own)
-    return found
+def slots(node: Node, path: tuple[str, ...] = (), repeated: bool = False) -> list[tuple[int, tuple[str, ...], bool]]:
+    """Number and path of every text slot, and whether a page may hold it several times."""
+    repeated |= node.many
+    if node.key == "#":
+        return [(node.number, path, repeated)]
+    own = path if node.key == "()" else (*path, node.key)
+    return [slot for kid in node.kids for slot in slots(kid, own, repeated)]
 
 
 def match(page: Node, wrapper: Node) -> dict[int, int]:

@@ -22,7 +22,7 @@ from gridsight.llm import markup
 from gridsight.llm.batches import pieces
 
 SPLITS = 8
-#: A text that is the same on at least so many pages of a host, all there are with its slot, is fixed wording.
+#: A slot that is not repeated and holds the same text on at least so many pages, all there are with it, is fixed wording.
 FIXED_PAGES = 20
 #: Share of a host's text that one child must hold to be looked into, where no element names the article.
 BULK = 0.7
@@ -58,7 +58,8 @@ def article_slots(wrapper: markup.Node, stats: dict[int, tuple[int, bool, int, i
     If elements name the article, it is what lies in the outermost of them that hold text; else the smallest
     element that holds the bulk of the text outside of links. Fixed wording and what is outside is left out.
     """
-    paths = [(n, p) for n, p in markup.slots(wrapper) if not outside(p)]
+    found = markup.slots(wrapper)
+    paths, once = [(n, p) for n, p, _ in found if not outside(p)], {n for n, _, repeated in found if not repeated}
     plain = {n: stats.get(n, (0, False, 0, 0))[2] - stats.get(n, (0, False, 0, 0))[3] for n, _ in paths}
     named = [n for n, p in paths if any(names_article(k) for k in p)]
     if any(plain[n] for n in named):
@@ -76,7 +77,7 @@ def article_slots(wrapper: markup.Node, stats: dict[int, tuple[int, bool, int, i
                                                                              for n, p in paths if n in best for k in p[depth:depth + 1]):
                 break
             chosen, depth = best, depth + 1
-    return {n for n in chosen if not (stats.get(n, (0, False))[0] >= FIXED_PAGES and stats[n][1])}
+    return {n for n in chosen if not (n in once and stats.get(n, (0, False))[0] >= FIXED_PAGES and stats[n][1])}
 
 
 def parsed_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -136,7 +137,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             for signature, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 page = markup.read(signature)
                 found = markup.match(page, markup.read(wrapper))
-                paths = dict(markup.slots(page))
+                paths = {n: p for n, p, _ in markup.slots(page)}
                 rows.append(([found.get(n, -1) for n in range(len(paths))], [paths[n] for n in range(len(paths))]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),

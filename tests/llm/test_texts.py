@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, folder, name):
 def test_templates(spark):
     texts = [
         ("Released under the MIT License.", {"mit-notice"}, [3]), ("released under the terms of the mit license", {"mit-notice"}, [6]),
-        ("released under a mit license", set(), [3]), ("This is LICENSED under the GNU General Public License, version 3.", {"gpl-3.0"}, [5]),
+        ("released under a mit license", set(), [3]), ("This is LICENSED under the GNU General Public License, version 3.", {"gpl-3.0"}, [6]),
         ("licensed under the general public license version 2 or any later version", {"gpl-2.0"}, [3]), ("Copyright (c) 2020 A. Person. All rights reserved.", {"rights-reserved"}, []),
         ("copyright all rights reserved", set(), []), ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}, []), ("licensed under the apache license version 2", set(), [3]),
         ("licensed under a creative commons attribution share alike 4 license", {"cc-named"}, []), ("SPDX-License-Identifier: MIT", {"spdx"}, []),
