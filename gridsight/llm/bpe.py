@@ -2,12 +2,13 @@
 
 1. A task cuts its documents into pre-tokens, block by block (BLOCK_BYTES of text). A block is
    saved as one row: its distinct words and, per document, the numbers of its words in order.
-2. The words are exploded to (word, block, number) and shuffled by word; each distinct word is
-   encoded once, and its ids go back to the blocks that hold it.
+2. The distinct words are shuffled by a hash of the word, in chunks: a row holds those words of a
+   block that go to the same part. Each distinct word is encoded once, and its ids go back to the
+   blocks that hold it.
 3. A block's ids meet its positions and are put together in the order of the text.
 
-A row per block and distinct word is shuffled, not a row per word of the text, so a very
-common word weighs no more than one row per block. Decoding joins ids with the table of token bytes,
+A word is sent once per block that holds it, not once per occurrence, so a very common word
+weighs no more than a rare one. Decoding joins ids with the table of token bytes,
 whose size is that of the vocabulary and does not grow with the data.
 """
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from gridsight.functions.scale import saved
-from gridsight.llm.batches import lists, only, pieces
+from gridsight.functions.scale import shared_folder
+from gridsight.llm.batches import lists, only
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 16_000_000
+# Words whose ids a task remembers; beyond, it forgets them and may encode a word again.
+KNOWN_WORDS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,35 +75,69 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _block(piece: pa.RecordBatch, split: regex.Pattern) -> pa.RecordBatch:
-    """One row: the block's keys, words, and per document the numbers of its words."""
-    numbers: dict[str, int] = {}
-    add = numbers.setdefault
-    lengths, positions = [], []
-    for text in piece.column(1).to_pylist():
-        own = [add(w, len(numbers)) for w in split.findall(text)]
-        lengths.append(len(own))
-        positions.append(np.array(own, np.uint32))
-    flat = np.concatenate(positions)
-    # Numbers by falling frequency are small, and pack well.
-    order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-    renumber = np.empty(len(order), np.uint32)
-    renumber[order] = np.arange(len(order), dtype=np.uint32)
-    words = list(numbers)
-    flat = renumber[flat] if len(flat) else flat
-    low, high = (flat & 0xFFFF).astype(np.uint16).view(np.uint8), (flat >> 16).astype(np.uint8 if len(order) <= 1 << 24 else np.uint16)
-    packed = pa.compress(low.tobytes(), "zstd", asbytes=True), pa.compress(high.tobytes(), "zstd", asbytes=True)
-    return pa.RecordBatch.from_arrays(
-        [lists(piece.column(0), [piece.num_rows], piece.column(0).type), lists(np.array(lengths, np.int32), [len(lengths)], pa.int32()),
-         pa.array([packed[0]], pa.binary()), pa.array([packed[1]], pa.binary()), pa.array([high.itemsize], pa.int32()),
-         pa.array([[words[i].encode() for i in order.tolist()]], pa.list_(pa.binary()))],
-        ["keys", "lengths", "low", "high", "width", "words"])
-
-
-def _unpack(low: bytes, high: bytes, width: int, count: int) -> np.ndarray:
-    lower = np.frombuffer(pa.decompress(low, 2 * count, "zstd", asbytes=True), np.uint16) if count else np.zeros(0, np.uint16)
-    upper = np.frombuffer(pa.decompress(high, width * count, "zstd", asbytes=True), f"u{width}") if count else lower
-    return lower.astype(np.int64) | upper.astype(np.int64) << 16
+def _pack(numbers: np.ndarray, rest: bytes = b"") -> bytes:
+    """Whole numbers by bytes of equal weight, then other bytes, compressed."""
+    numbers = numbers.astype("<u4")
+    width = 4 if len(numbers) and numbers.max() >= 1 << 24 else 3 if len(numbers) and numbers.max() >= 1 << 16 else 2
+    planes = numbers.view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+    head = np.array([len(numbers), width, len(rest)], "<i8").tobytes()
+    return head + pa.compress(planes + rest, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    count, width, rest = np.frombuffer(packed[:24], "<i8").tolist()
+    data = pa.decompress(packed[24:], count * width + rest, "zstd", asbytes=True)
+    numbers = np.zeros((count, 4), np.uint8)
+    numbers[:, :width] = np.frombuffer(data, np.uint8, count * width).reshape(width, count).T
+    return numbers.view("<u4").ravel(), data[count * width:]
+
+
+class _Block:
+    """Documents of a task until they hold enough text."""
+
+    def __init__(self):
+        self.keys, self.lengths, self.positions, self.size, self.numbers = [], [], [], 0, {}
+
+    def add(self, key, text: str, split: regex.Pattern) -> None:
+        number = self.numbers.setdefault
+        own = [number(w, len(self.numbers)) for w in split.findall(text)]
+        self.keys.append(key)
+        self.lengths.append(len(own))
+        self.positions.append(np.array(own, np.uint32))
+        self.size += len(text)
+
+    def rows(self, kind: pa.DataType, parts: int) -> pa.RecordBatch:
+        """One row: keys, words per document, the words' numbers, and the distinct words by part of their hash.
+
+        Numbers go by falling frequency, as small numbers pack well.
+        """
+        flat = np.concatenate(self.positions)
+        order = np.argsort(-np.bincount(flat, minlength=len(self.numbers)), kind="stable")
+        renumber = np.empty(len(order), np.uint32)
+        renumber[order] = np.arange(len(order), dtype=np.uint32)
+        words = [w.encode() for w in self.numbers]
+        part = np.array([zlib.crc32(w) % parts for w in words], np.int64)[order]
+        by_part = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[by_part], prepend=-1))
+        chunks = []
+        for begin, end in zip(cuts.tolist(), [*cuts.tolist()[1:], len(by_part)]):
+            numbers = by_part[begin:end]
+            own = [words[i] for i in order[numbers].tolist()]
+            chunks.append({"part": int(part[numbers[0]]), "numbers": _pack(np.diff(numbers, prepend=0)), "words": _pack(np.array([len(w) for w in own]), b"".join(own))})
+        return pa.RecordBatch.from_arrays(
+            [lists(pa.array(self.keys, kind), [len(self.keys)], kind), pa.array([_pack(np.array(self.lengths))]),
+             pa.array([_pack(renumber[flat] if len(flat) else flat)]),
+             pa.array([chunks], pa.list_(pa.struct([("part", pa.int32()), ("numbers", pa.binary()), ("words", pa.binary())])))],
+            ["keys", "lengths", "positions", "chunks"])
+
+
+def _bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows saved to the shared folder in buckets of a key that later meets them: they are not shuffled again."""
+    spark = rows.sparkSession
+    name = f"gridsight_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/gridsight/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text",
@@ -107,64 +146,78 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
 
     Every match of ``pattern`` is encoded by itself, without special tokens, and what no match
     covers is left out, as in the library of that file format. Null and empty texts have
-    no ids; null and repeated keys are separate rows; other columns are ignored. One text is one row
-    of a block, however long.
+    no ids; null and repeated keys are separate rows; other columns are ignored. One text is part
+    of one block, however long.
     """
     spark = documents.sparkSession
     table = spark.sparkContext.broadcast(ranks)
     source = only(documents, key, text)
     kind = source.schema["key"].dataType.simpleString()
+    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern)
+        split, block, arrow = regex.compile(pattern), _Block(), None
         for batch in batches:
-            for piece in pieces(batch, block_bytes):
-                yield _block(piece, split)
-
-    blocks = saved(source.mapInArrow(cut, f"keys array<{kind}>, lengths array<int>, low binary, high binary, width int, words array<binary>")
-                   .withColumn("block", F.monotonically_increasing_id()))
+            arrow = batch.column(0).type
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block.add(name, value.as_py(), split)
+                if block.size >= block_bytes:
+                    yield block.rows(arrow, parts)
+                    block = _Block()
+        if block.keys:
+            yield block.rows(arrow, parts)
+
+    blocks = _bucketed(source.mapInArrow(cut, f"keys array<{kind}>, lengths binary, positions binary, chunks array<struct<part:int,numbers:binary,words:binary>>")
+                   .withColumn("block", F.monotonically_increasing_id()), "block")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             found = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(merge(word, table.value), np.uint32).tobytes()
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["block", "number", "ids"])
-
-    words = (blocks.select("block", F.posexplode("words").alias("number", "word")).repartition("word").sortWithinPartitions("word")
-             .mapInArrow(encoded, "block bigint, number int, ids binary"))
+            for packed in batch.column(2).to_pylist():
+                sizes, data = _unpack(packed)
+                ids, counts, begin = [], [], 0
+                for size in sizes.tolist():
+                    word = data[begin:begin + size]
+                    begin += size
+                    own = known.get(word)
+                    if own is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        own = known[word] = tuple(merge(word, table.value))
+                    ids += own
+                    counts.append(len(own))
+                found.append((_pack(np.array(counts)), _pack(np.array(ids))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*found))],
+                                             ["block", "numbers", "counts", "ids"])
+
+    words = (blocks.select("block", F.explode("chunks").alias("c")).select("block", "c.numbers", "c.words", "c.part").repartition("part")
+             .select("block", "numbers", "words").mapInArrow(encoded, "block bigint, numbers binary, counts binary, ids binary"))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, lengths, packed, sizes = [], [], [], []
-        if left.num_rows:
-            numbers = right.column("number").combine_chunks().to_numpy()
-            of = np.empty(len(numbers), np.int64)
-            of[numbers] = np.arange(len(numbers))
-            ids = right.column("ids").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            flat = np.frombuffer(ids.buffers()[2] or b"", np.uint32)
-            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1].astype(np.int64) // 4
-            row = left.slice(0, 1).to_pylist()[0]
-            at = _unpack(row["low"], row["high"], row["width"], sum(row["lengths"]))
-            begin = 0
-            for name, length in zip(row["keys"], row["lengths"]):
-                own = of[at[begin:begin + length]]
+        keys, totals, packed = [], [], []
+        for row in left.to_pylist():
+            numbers, counts, ids = ([_unpack(v)[0] for v in right.column(c).to_pylist()] for c in ("numbers", "counts", "ids"))
+            number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(n, dtype=np.int64) for n in numbers)]).astype(np.int64)
+            count = np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype("<u4")
+            starts, sizes = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+            starts[number], sizes[number] = np.cumsum(count) - count, count
+            positions, begin = _unpack(row["positions"])[0], 0
+            for name, length in zip(row["keys"], _unpack(row["lengths"])[0].tolist()):
+                own = positions[begin:begin + length]
                 begin += length
-                starts, counts = ends[own], ends[own + 1] - ends[own]
-                total = int(counts.sum())
-                place = np.arange(total) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+                size = sizes[own]
+                total = int(size.sum())
+                place = np.arange(total) + np.repeat(starts[own] - (np.cumsum(size) - size), size)
                 keys.append(name)
+                totals.append(total)
                 packed.append(flat[place].tobytes())
-                lengths.append(total)
-        return pa.table([pa.array(keys, left.schema.field("keys").type.value_type), pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())],
+        return pa.table([pa.array(keys, left.schema.field("keys").type.value_type), pa.array(totals, pa.int64()), pa.array(packed, pa.binary())],
                         names=["key", "n_tokens", "ids"])
 
-    parts = blocks.select("block", "keys", "lengths", "low", "high", "width")
-    return (parts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, f"key {kind}, n_tokens bigint, ids binary")
-            .withColumnRenamed("key", key))
+    return (blocks.select("block", "keys", "lengths", "positions").groupBy("block").cogroup(words.groupBy("block"))
+            .applyInArrow(assemble, f"key {kind}, n_tokens bigint, ids binary").withColumnRenamed("key", key))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
