@@ -50,8 +50,14 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in kinds(df).items() if kind == "number"]
 
 
+def finite(value: Column) -> Column:
+    """The number; null for NaN (greater than any number here) and for both infinities."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def text_to_number(value: Column) -> Column:
-    return F.when(value.rlike(NUMBER_SHAPE), F.trim(value).try_cast("double"))
+    """Text such as ``1e999`` reads as infinity and so is no number."""
+    return finite(F.when(value.rlike(NUMBER_SHAPE), F.trim(value).try_cast("double")))
 
 
 def text_to_time(value: Column) -> Column:
@@ -72,7 +78,7 @@ def number(df: DataFrame, name: str) -> Column:
     if kind == "number":
         real = value.cast("double")
         if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-            return F.when(~F.isnan(real), real)
+            return finite(real)
         return real
     if kind == "boolean":
         return value.cast("int").cast("double")

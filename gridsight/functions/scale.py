@@ -1,8 +1,6 @@
-"""Size checks and lineage cuts.
+"""Size checks, lineage cuts and distributed numbering.
 
-``plan_bytes`` asks the optimizer for its size estimate of a plan, which costs no job.
-Operators use it to choose between a single-task form (fine for what fits one task) and
-the distributed form; both give the same answer.
+Every operator has one form, the distributed one, whatever the size of its input.
 """
 
 from __future__ import annotations
@@ -12,35 +10,20 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-# A plan estimated below this many bytes may be sorted or held by one task.
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes a plan produces.
-
-    Estimates multiply with every join and may pass any number's size; such a plan
-    counts as large.
-    """
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except ValueError:
-        return 1 << 62
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    limit = SMALL_PLAN_BYTES if limit is None else limit
-    return limit > 0 and plan_bytes(df) <= limit
+_SAVED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where a session names none, as in tests, a temporary one is set.
+    Where a session names none, a temporary one is set if all tasks run in this process; on a
+    cluster each executor would write to a disk of its own, so there it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridsight-shared-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -50,14 +33,25 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once to the shared folder and read them back.
 
     Unlike an eager checkpoint this computes the rows once, keeps them columnar, and
-    leaves the optimizer with their true size. It survives the loss of executors.
+    leaves the optimizer with their true size. It survives the loss of executors. ``drop_saved``
+    removes these tables once no result is read from them any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridsight/{uuid.uuid4().hex}"
+    _SAVED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> int:
+    """Remove the tables that ``saved`` wrote so far; how many there were. Frames that read them end with it."""
+    count = len(_SAVED)
+    while _SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for an iterative fit over a scan of few splits.
 
@@ -72,36 +66,25 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame marked for broadcast if it has at most ``rows`` rows, else as it is.
+    """The frame marked for broadcast if it has few enough rows and bytes, else as it is.
 
-    Meant for saved frames or cheap aggregates: it counts up to ``rows + 1``.
+    Meant for saved frames or cheap aggregates: it measures up to ``rows + 1`` rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-SORT_ROWS = 1_000_000
-ALWAYS = 1 << 63
-
-
-def counted_limit(fixed: DataFrame, small: int | None = None) -> int:
-    """A size limit for a saved frame, decided by its row count, not an estimate."""
-    if small == 0:
-        return 0
-    return ALWAYS if fixed.limit(SORT_ROWS + 1).count() <= SORT_ROWS else 0
+    size = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= rows and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
-def row_numbers(df: DataFrame, order: list[Column], name: str = "rank", small: int | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of every row in a total order over the whole frame.
 
-    Large frames are range-sorted once and saved, so that the partition a row
+    The frame is range-sorted once and saved, so that the partition a row
     is in cannot change; a row's number is its place in the partition plus the rows in
     the partitions before it. Only one count per partition reaches the driver.
     """
-    if is_small(df, small):
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     part = F.shiftright(F.monotonically_increasing_id(), 33)
     ordered = saved(df.orderBy(*order).withColumn("_part", part).withColumn("_within", within))
@@ -134,17 +117,13 @@ def row_copies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*row_digest(df, columns)).groupBy("_h1", "_h2").agg(F.count("*").alias("copies"))
 
 
-def running_totals(df: DataFrame, keys: list[str], order: str, weight: str, name: str,
-                   small: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: str, weight: str, name: str) -> DataFrame:
     """Adds the running sum of ``weight`` in the order of a column, within ``keys``.
 
-    The rows must be distinct in ``keys`` and ``order`` (already counted). A large frame
+    The rows must be distinct in ``keys`` and ``order`` (already counted). The frame
     is range-sorted over keys and order together and saved; each part sums its
     own rows and adds the totals of the parts before it, so no key needs one task.
     """
-    if is_small(df, small):
-        within = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(name, F.sum(weight).over(within))
     part = F.shiftright(F.monotonically_increasing_id(), 33)
     ordered = saved(df.orderBy(*keys, order).withColumn("_part", part))
     sums = {r["_part"]: r["s"] for r in ordered.groupBy("_part").agg(F.sum(weight).alias("s")).collect()}

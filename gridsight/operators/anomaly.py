@@ -24,7 +24,7 @@ def _usable(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, *numbers).where(any_value.isNotNull())
 
 
-def feature_frame(df: DataFrame, features: list[str], keep: list[str] = (), small: int | None = None) -> DataFrame:
+def feature_frame(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
     """``keep…`` and ``f0, f1, …``: usable rows with gaps filled by medians."""
     names = [f"f{i}" for i in range(len(features))]
     kept = _usable(df, features, keep)
@@ -32,7 +32,7 @@ def feature_frame(df: DataFrame, features: list[str], keep: list[str] = (), smal
     gaps = [n for n in names if holes[n]]
     if not gaps:
         return kept
-    return kept.fillna({n: v for n, v in medians(kept, gaps, small).items() if v is not None})
+    return kept.fillna({n: v for n, v in medians(kept, gaps).items() if v is not None})
 
 
 def _deviations(frame: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
@@ -57,39 +57,39 @@ def zscore(df: DataFrame, features: list[str], keep: list[str] = (), threshold:
     frame, names = feature_frame(df, features, keep), [f"f{i}" for i in range(len(features))]
     stats = _deviations(frame, names)
     z = [F.abs((F.col(n) - m) / s) if s else F.lit(0.0) for n, (m, s) in stats.items()]
-    scored = frame.withColumn("_z", _largest(z))
+    # A spread too large for a double gives NaN, which flags nothing.
+    scored = frame.withColumn("_z", F.nanvl(_largest(z), F.lit(0.0)))
     return _report(scored, features, list(keep), F.col("_z") > threshold, -F.col("_z"), F.col("_z"))
 
 
 outliers = zscore
 
 
-def iqr(df: DataFrame, features: list[str], keep: list[str] = (), multiplier: float = 1.5, small: int | None = None) -> DataFrame:
+def iqr(df: DataFrame, features: list[str], keep: list[str] = (), multiplier: float = 1.5) -> DataFrame:
     """Rows outside the quartile fences; the score is the distance in quartile ranges."""
-    frame, names = feature_frame(df, features, keep, small), [f"f{i}" for i in range(len(features))]
-    q = quantile_values(frame, names, [0.25, 0.75], small)
+    frame, names = feature_frame(df, features, keep), [f"f{i}" for i in range(len(features))]
+    q = quantile_values(frame, names, [0.25, 0.75])
     distances = []
     for n in names:
         low, high = q[n][0.25], q[n][0.75]
         width = high - low
         if width > 0:
             distances += [(low - multiplier * width - F.col(n)) / width, (F.col(n) - (high + multiplier * width)) / width]
-    scored = frame.withColumn("_d", _largest(distances) if distances else F.lit(0.0))
+    scored = frame.withColumn("_d", F.nanvl(_largest(distances), F.lit(0.0)) if distances else F.lit(0.0))
     return _report(scored, features, list(keep), F.col("_d") > 0, F.col("_d"), F.col("_d"))
 
 
-def modified_zscore(df: DataFrame, features: list[str], keep: list[str] = (), threshold: float = 3.5,
-                    small: int | None = None) -> DataFrame:
+def modified_zscore(df: DataFrame, features: list[str], keep: list[str] = (), threshold: float = 3.5) -> DataFrame:
     """Deviation from the median in units of the median absolute deviation."""
     names = [f"f{i}" for i in range(len(features))]
     raw = _usable(df, features, list(keep))
     # Filling gaps with the median leaves the median where it is: one pass serves both.
-    middle = medians(raw, names, small)
+    middle = medians(raw, names)
     frame = raw.fillna({n: v for n, v in middle.items() if v is not None})
     away = frame.select(*[F.abs(F.col(n) - middle[n]).alias(n) for n in names])
-    mad = medians(away, names, small)
+    mad = medians(away, names)
     z = [F.abs(0.6745 * (F.col(n) - middle[n]) / mad[n]) if mad[n] else F.lit(0.0) for n in names]
-    scored = frame.withColumn("_z", _largest(z))
+    scored = frame.withColumn("_z", F.nanvl(_largest(z), F.lit(0.0)))
     return _report(scored, features, list(keep), F.col("_z") > threshold, -F.col("_z"), F.col("_z"))
 
 
@@ -222,17 +222,17 @@ def score_forest(df: DataFrame, nodes: DataFrame, scaling: DataFrame, keep: list
         *keep, *[F.col(f"f{i}").alias(c) for i, c in enumerate(features) if c not in keep], "anomaly_score")
 
 
-def forest_anomalies(scored: DataFrame, contamination: float = CONTAMINATION, small: int | None = None) -> DataFrame:
+def forest_anomalies(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """The share ``contamination`` of rows with the lowest scores, lowest first."""
     fixed = saved(scored)
-    cut = quantile_values(fixed, ["anomaly_score"], [contamination], small)["anomaly_score"][contamination]
+    cut = quantile_values(fixed, ["anomaly_score"], [contamination])["anomaly_score"][contamination]
     return fixed.where(F.col("anomaly_score") < cut).orderBy("anomaly_score")
 
 
 # --- One-class boundary ------------------------------------------------------------
 
 def one_class_boundary(df: DataFrame, features: list[str], keep: list[str] = (), nu: float = 0.05, waves: int = 128,
-                       rounds: int = 25, seed: int = 7, small: int | None = None) -> DataFrame:
+                       rounds: int = 25, seed: int = 7) -> DataFrame:
     """One-class support vector boundary with a radial kernel, on random Fourier features.
 
     The kernel is replaced by ``waves`` random cosines, which makes the problem linear:
@@ -240,7 +240,7 @@ def one_class_boundary(df: DataFrame, features: list[str], keep: list[str] = (),
     set to the ``nu`` quantile of the margins, the property a one-class machine has at
     its optimum. Approximate in the kernel and the number of rounds, never in the rows.
     """
-    frame, names = feature_frame(df, features, list(keep), small), [f"f{i}" for i in range(len(features))]
+    frame, names = feature_frame(df, features, list(keep)), [f"f{i}" for i in range(len(features))]
     stats = _deviations(frame, names)
     # Every round reads the scaled rows; keep them where memory allows.
     scaled = spread(frame).select(*keep, *names, *[((F.col(n) - m) / (s or 1.0)).alias(f"z{i}") for i, (n, (m, s)) in enumerate(stats.items())]).persist()
@@ -281,5 +281,5 @@ def one_class_boundary(df: DataFrame, features: list[str], keep: list[str] = (),
 
     scored = saved(scaled.withColumn("_margin", margin(*columns)))
     scaled.unpersist()
-    cut = quantile_values(scored, ["_margin"], [nu], small)["_margin"][nu]
+    cut = quantile_values(scored, ["_margin"], [nu])["_margin"][nu]
     return _report(scored, features, list(keep), F.col("_margin") < cut, F.lit(cut) - F.col("_margin"), F.lit(cut) - F.col("_margin"))

@@ -8,7 +8,6 @@ from gridsight.functions.parsing import as_text, missing, moment, number
 from gridsight.functions.quantiles import quantiles
 
 DEFAULT_LIMIT = 15
-MAX_POINTS = 100
 SCATTER_POINTS = 5000
 
 
@@ -43,8 +42,8 @@ def categorical_chart(df: DataFrame, dimension: str, metric: str | None = None,
 
 
 def monthly_chart(df: DataFrame, date_column: str, metric: str | None = None, method: str = "sum",
-                  points: int | None = MAX_POINTS) -> DataFrame:
-    """One point per calendar month in order; the first ``points`` months."""
+                  points: int | None = None) -> DataFrame:
+    """One point per calendar month in order; all, or the first ``points`` months."""
     month = F.date_format(moment(df, date_column), "yyyy-MM").alias("label")
     value = number(df, metric) if metric else F.lit(1.0)
     out = (
@@ -108,11 +107,11 @@ def violations_chart(rule_results: DataFrame, limit: int = DEFAULT_LIMIT) -> Dat
             .select(F.col("rule_key").alias("label"), F.col("fail_count").alias("value")))
 
 
-def box_chart(df: DataFrame, metric: str, group: str | None = None, small: int | None = None) -> DataFrame:
+def box_chart(df: DataFrame, metric: str, group: str | None = None) -> DataFrame:
     """Least, quartiles and largest value, per group when one is given."""
     keys = [group] if group else []
     kept = df.where(~missing(df, group)) if group else df
-    values = quantiles(kept, [metric], [0.0, 0.25, 0.5, 0.75, 1.0], keys=keys, small=small)
+    values = quantiles(kept, [metric], [0.0, 0.25, 0.5, 0.75, 1.0], keys=keys)
     names = {0.0: "least", 0.25: "q25", 0.5: "median", 0.75: "q75", 1.0: "most"}
     return values.groupBy(*keys, "n").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()])

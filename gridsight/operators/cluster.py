@@ -7,14 +7,14 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridsight.functions.scale import broadcast_checked, counted_limit, row_numbers, saved, spread
+from gridsight.functions.scale import broadcast_checked, row_numbers, saved, spread
 from gridsight.operators.anomaly import _deviations, feature_frame
 from gridsight.operators.segment import risk_label
 
 
-def _scaled(df: DataFrame, features: list[str], keep: list[str], small: int | None = None) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+def _scaled(df: DataFrame, features: list[str], keep: list[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """``keep…, f0…`` as given (gaps filled) and ``z0…`` with mean 0, population deviation 1."""
-    frame, names = feature_frame(df, features, list(keep), small), [f"f{i}" for i in range(len(features))]
+    frame, names = feature_frame(df, features, list(keep)), [f"f{i}" for i in range(len(features))]
     stats = _deviations(frame, names)
     scaled = frame.select("*", *[((F.col(n) - m) / (s or 1.0)).alias(f"z{i}") for i, (n, (m, s)) in enumerate(stats.items())])
     return scaled, stats
@@ -26,12 +26,12 @@ def _vector(count: int):
     return VectorAssembler(inputCols=[f"z{i}" for i in range(count)], outputCol="features")
 
 
-def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, rounds: int = 20, small: int | None = None) -> DataFrame:
+def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, rounds: int = 20) -> DataFrame:
     """Cluster centres as a table: ``cluster``, one column per feature, ``mean_i`` and
     ``deviation_i`` of the scaling. Clusters are numbered in the order of their centres."""
     from pyspark.ml.clustering import KMeans
 
-    scaled, stats = _scaled(df, features, [], small)
+    scaled, stats = _scaled(df, features, [])
     # Every round reads the vectors; keep them where memory allows.
     vectors = _vector(len(features)).transform(spread(scaled)).select("features").persist()
     try:
@@ -47,14 +47,14 @@ def fit_kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42, r
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def assign_clusters(df: DataFrame, centres: DataFrame, features: list[str], keep: list[str] = (), small: int | None = None) -> DataFrame:
+def assign_clusters(df: DataFrame, centres: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
     """The nearest centre of each row in scaled space, ties to the lower number.
 
     The centres are k rows; they become one literal expression, not a join.
     """
     table = sorted(centres.collect(), key=lambda r: r["cluster"])
     first = table[0]
-    frame = feature_frame(df, features, list(keep), small)
+    frame = feature_frame(df, features, list(keep))
     distances = []
     for row in table:
         parts = [F.pow((F.col(f"f{i}") - F.lit(row[f])) / F.lit(first[f"deviation_{i}"]), 2) for i, f in enumerate(features)]
@@ -75,8 +75,7 @@ def cluster_profiles(assigned: DataFrame, features: list[str], ratio: str | None
 REFINE_ROUNDS = 12
 
 
-def dbscan(df: DataFrame, features: list[str], keep: list[str] = (), eps: float = 0.5, min_samples: int = 5,
-           small: int | None = None) -> DataFrame:
+def dbscan(df: DataFrame, features: list[str], keep: list[str] = (), eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """``keep…, features…, cluster`` with noise as -1; the exact DBSCAN clusters.
 
     Equal rows are one weighted point. Cells of side ``eps / sqrt(d)`` have a diagonal
@@ -89,7 +88,7 @@ def dbscan(df: DataFrame, features: list[str], keep: list[str] = (), eps: float
     """
     d = len(features)
     names, scaled_names = [f"f{i}" for i in range(d)], [f"z{i}" for i in range(d)]
-    scaled, _ = _scaled(df, features, list(keep), small)
+    scaled, _ = _scaled(df, features, list(keep))
     side = eps / np.sqrt(d) * (1 - 1e-12)
     cell = [F.floor(F.col(z) / side) for z in scaled_names]
     # Split the grid for refinement: sixteen binary digits below the cell.
@@ -133,10 +132,10 @@ def dbscan(df: DataFrame, features: list[str], keep: list[str] = (), eps: float
     placed = core_labels.unionByName(border)
     # One row per cluster: its smallest point becomes its number.
     found = saved(labels.select("label").distinct())
-    numbers = row_numbers(found, [F.asc("label")], "cluster", counted_limit(found, small)).withColumn("cluster", (F.col("cluster") - 1).cast("int"))
+    numbers = row_numbers(found, [F.asc("label")], "cluster").withColumn("cluster", (F.col("cluster") - 1).cast("int"))
     member = placed.join(broadcast_checked(numbers), "label").select("point", "cluster")
     labelled = points.join(member, "point", "left").select(*names, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return (feature_frame(df, features, list(keep), small).join(labelled, names)
+    return (feature_frame(df, features, list(keep)).join(labelled, names)
             .select(*keep, *[F.col(n).alias(f) for n, f in zip(names, features) if f not in keep], "cluster"))
 
 
@@ -239,14 +238,14 @@ MICRO_CLUSTERS = 200
 
 
 def ward(df: DataFrame, features: list[str], keep: list[str] = (), k: int = 3, micro: int = MICRO_CLUSTERS,
-         seed: int = 42, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+         seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Agglomerative clusters and the last ten merge heights.
 
     The rows are first gathered into at most ``micro`` K-means groups on Spark; Ward's
     merging then runs over those weighted centres, a few hundred numbers. Approximate
     where a group straddles a boundary.
     """
-    scaled, _ = _scaled(df, features, list(keep), small)
+    scaled, _ = _scaled(df, features, list(keep))
     z = [f"z{i}" for i in range(len(features))]
     distinct = scaled.select(*z).distinct().limit(micro + 1).count()
     from pyspark.ml.clustering import KMeans

@@ -97,7 +97,7 @@ def contribution(df: DataFrame, value: str, label: str) -> DataFrame:
                          F.round(F.when(total == 0, 0.0).otherwise(F.abs("_v") / total * 100), 2).alias("contribution_pct"))
 
 
-def compare_groups(df: DataFrame, value: str, group: str, method: str = "sum", small: int | None = None) -> DataFrame:
+def compare_groups(df: DataFrame, value: str, group: str, method: str = "sum") -> DataFrame:
     """A metric per group, ranked, with the extremes marked."""
     clean = df.select(F.col(f"`{group}`").alias("label"), number(df, value).alias("_v")).where(
         F.col("label").isNotNull() & F.col("_v").isNotNull())
@@ -105,8 +105,8 @@ def compare_groups(df: DataFrame, value: str, group: str, method: str = "sum", s
         groups = quantiles(clean, ["_v"], [0.5], keys=["label"]).select("label", F.col("value").alias("_v"))
     else:
         groups = clean.groupBy("label").agg(_method(F.col("_v"), method).alias("_v"))
-    ranked = row_numbers(groups, [F.desc("_v"), F.asc("label")], small=small)
-    count = ranked.agg(F.count(F.lit(1))).scalar() if small == 0 else groups.agg(F.count(F.lit(1))).scalar()
+    ranked = row_numbers(groups, [F.desc("_v"), F.asc("label")])
+    count = ranked.agg(F.count(F.lit(1))).scalar()
     return ranked.select("label", F.round("_v", 2).alias("value"), "rank", count.alias("group_count")).withColumn(
         "extreme", F.when(F.col("rank") == 1, "highest").when(F.col("rank") == F.col("group_count"), "lowest"))
 

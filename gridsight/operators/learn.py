@@ -32,8 +32,7 @@ def fold_of(key: list[str], folds: int = TEST_SHARE, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]), F.lit(folds)).cast("int")
 
 
-def prepare(df: DataFrame, features: list[str], key: list[str], target: Column, one_hot: bool = False, fill: str = "median",
-            small: int | None = None) -> Prepared:
+def prepare(df: DataFrame, features: list[str], key: list[str], target: Column, one_hot: bool = False, fill: str = "median") -> Prepared:
     """Numbers filled with the column's median (or 0), text as an indexed category.
 
     Category levels are learnt inside the pipeline; unseen ones get a level of their own.
@@ -54,7 +53,7 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
         holes = rows.agg(*[F.count_if(F.col(f"n_{c}").isNull()).alias(f"h_{i}") for i, c in enumerate(numeric)]).first()
         gaps = [f"n_{c}" for i, c in enumerate(numeric) if holes[f"h_{i}"]]
         if gaps:
-            values = {c: 0.0 for c in gaps} if fill == "zero" else medians(rows, gaps, small)
+            values = {c: 0.0 for c in gaps} if fill == "zero" else medians(rows, gaps)
             rows = rows.fillna({c: (0.0 if v is None else v) for c, v in values.items()})
     bins = BINS
     if words and not one_hot:
@@ -102,7 +101,7 @@ class Fitted:
 
 
 def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
-                   depth: int | None = None, small: int | None = None, holdout: int = 0, prepared: Prepared | None = None) -> Fitted:
+                   depth: int | None = None, holdout: int = 0, prepared: Prepared | None = None) -> Fitted:
     """Fit on four folds and predict the fifth.
 
     ``gbt``: boosted trees, one against the rest for several classes, balanced weights.
@@ -115,7 +114,7 @@ def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[st
     if prepared is None:
         if method == "logistic":
             features = [c for c in features if kinds(df)[c] in ("number", "boolean")]
-        prepared = prepare(df, features, key, merged_classes(df, target), one_hot=method == "rf", fill="zero" if method == "gbt" else "median", small=small)
+        prepared = prepare(df, features, key, merged_classes(df, target), one_hot=method == "rf", fill="zero" if method == "gbt" else "median")
     rows = prepared.rows
     train, test = rows.where(F.col("fold") != holdout), rows.where(F.col("fold") == holdout)
     if rows.limit(least).count() < least:
@@ -183,11 +182,11 @@ def predicted_driver(predictions: DataFrame) -> DataFrame:
 
 
 def fit_regressor(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
-                  depth: int | None = None, small: int | None = None, holdout: int = 0) -> Fitted:
+                  depth: int | None = None, holdout: int = 0) -> Fitted:
     """Boosted trees (categories native) or a random forest (one-hot) on four of five folds."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    prepared = prepare(df, features, key, number(df, target), one_hot=method == "rf", small=small)
+    prepared = prepare(df, features, key, number(df, target), one_hot=method == "rf")
     least = 20 if method == "gbt" else 30
     if prepared.rows.limit(least).count() < least:
         raise ValueError(f"{method} needs at least {least} rows")

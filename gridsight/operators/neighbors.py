@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridsight.functions.quantiles import quantile_values
-from gridsight.functions.scale import broadcast_checked, counted_limit, row_numbers, saved
+from gridsight.functions.scale import broadcast_checked, row_numbers, saved
 from gridsight.operators.anomaly import CONTAMINATION, feature_frame
 
 BLOCK = 64
@@ -47,15 +47,14 @@ def weighted_points(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.groupBy(*names).agg(F.count("*").alias("weight"))
 
 
-def blocked_points(points: DataFrame, names: list[str], block: int = BLOCK, small: int | None = None) -> DataFrame:
+def blocked_points(points: DataFrame, names: list[str], block: int = BLOCK) -> DataFrame:
     """Adds a point number and its block along the curve; saved."""
     ends = points.agg(*[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]).first()
     low = {n: ends[f"lo_{n}"] for n in names}
     side = max((ends[f"hi_{n}"] - ends[f"lo_{n}"] for n in names), default=0.0) or 1.0
     keyed = points.withColumn("_z", _curve(names, low, side))
     keyed = saved(keyed)
-    small = counted_limit(keyed, small)
-    numbered = row_numbers(keyed, [F.col("_z"), *[F.col(n) for n in names]], "point", small=small)
+    numbered = row_numbers(keyed, [F.col("_z"), *[F.col(n) for n in names]], "point")
     return saved(numbered.drop("_z").withColumn("block", F.floor((F.col("point") - 1) / block)))
 
 
@@ -135,16 +134,15 @@ def nearest(points: DataFrame, names: list[str], k: int) -> DataFrame:
                                      F.least(F.col("weight"), F.lit(k) - F.col("before")).alias("taken"))
 
 
-def local_outlier_factor(df: DataFrame, features: list[str], keep: list[str] = (), k: int = 20,
-                         small: int | None = None) -> DataFrame:
+def local_outlier_factor(df: DataFrame, features: list[str], keep: list[str] = (), k: int = 20) -> DataFrame:
     """``keep…, features…, lof``: density around a row's neighbours over its own density."""
     names = [f"f{i}" for i in range(len(features))]
-    frame = feature_frame(df, features, list(keep), small)
+    frame = feature_frame(df, features, list(keep))
     total = frame.count()
     if total < 10:
         raise ValueError(f"local outlier factor needs at least 10 rows, got {total}")
     k = min(k, total - 1)
-    points = blocked_points(weighted_points(frame, names), names, max(BLOCK, k + 1), small)
+    points = blocked_points(weighted_points(frame, names), names, max(BLOCK, k + 1))
     near = saved(nearest(points, names, k))
     reach = near.groupBy("point").agg(F.max("distance").alias("k_distance"))
     edges = near.join(reach.withColumnsRenamed({"point": "other", "k_distance": "other_k"}), "other")
@@ -159,8 +157,8 @@ def local_outlier_factor(df: DataFrame, features: list[str], keep: list[str] = (
     return out.select(*keep, *[F.col(n).alias(c) for n, c in zip(names, features) if c not in keep], "lof")
 
 
-def lof_anomalies(scored: DataFrame, contamination: float = CONTAMINATION, small: int | None = None) -> DataFrame:
+def lof_anomalies(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """Rows whose factor is over the ``1 - contamination`` quantile, most severe first."""
     fixed = saved(scored)
-    cut = quantile_values(fixed, ["lof"], [1 - contamination], small)["lof"][1 - contamination]
+    cut = quantile_values(fixed, ["lof"], [1 - contamination])["lof"][1 - contamination]
     return fixed.where(F.col("lof") > cut).withColumn("anomaly_score", F.round("lof", 4)).drop("lof").orderBy(F.desc("anomaly_score"))

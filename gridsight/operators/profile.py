@@ -128,7 +128,7 @@ def parse_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         ratio(is_boolean_text(value)).alias("boolean_parse_ratio"))
 
 
-def column_numbers(df: DataFrame, columns: list[str] | None = None, small: int | None = None) -> DataFrame:
+def column_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per mostly numeric column: range, mean, median, sample deviation, quartiles.
 
     Deviation is 0 for a single value; ``all_integer_valued`` looks at every value.
@@ -141,7 +141,7 @@ def column_numbers(df: DataFrame, columns: list[str] | None = None, small: int |
         F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std_dev"),
         F.bool_and(F.col("x") % 1 == 0).alias("all_integer_valued"),
     ).where((F.col("numeric_count") > 0) & (F.col("numeric_count") > 0.5 * F.col("filled")))
-    probs = quantiles(df, columns or df.columns, [0.25, 0.5, 0.75], small=small)
+    probs = quantiles(df, columns or df.columns, [0.25, 0.5, 0.75])
     wide = probs.groupBy("column").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
     return (
@@ -203,7 +203,7 @@ def sample_values(df: DataFrame, order_by: list[str], columns: list[str] | None
     )
 
 
-def column_profiles(df: DataFrame, small: int | None = None) -> DataFrame:
+def column_profiles(df: DataFrame) -> DataFrame:
     """The whole profile, one row per column.
 
     Two passes over the data: value frequencies (counts, lengths, parse ratios,
@@ -233,7 +233,7 @@ def column_profiles(df: DataFrame, small: int | None = None) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("v"))
         .select("column", F.transform("v", lambda s: s["value"]).alias("representative_values"))
     )
-    numbers = column_numbers(df, small=small).drop("numeric_count")
+    numbers = column_numbers(df).drop("numeric_count")
     keys = dict(zip(df.columns, normalised_keys(df.columns)))
     names = F.create_map(*[F.lit(x) for item in keys.items() for x in item])
     places = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])

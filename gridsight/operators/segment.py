@@ -23,10 +23,10 @@ def _bins(df: DataFrame, metric: str, edges: list[float], labels: list[str] | No
     return slots.join(counts, "bin", "left").select("bin", "segment", "range_start", "range_end", F.coalesce("c", F.lit(0)).alias("count"))
 
 
-def equal_frequency(df: DataFrame, metric: str, bins: int = 3, labels: list[str] | None = None, small: int | None = None) -> DataFrame:
+def equal_frequency(df: DataFrame, metric: str, bins: int = 3, labels: list[str] | None = None) -> DataFrame:
     """Bins of equal counts; bins whose edges coincide are merged."""
     probs = [i / bins for i in range(bins + 1)]
-    values = quantile_values(df, [metric], probs, small)[metric]
+    values = quantile_values(df, [metric], probs)[metric]
     if not values:
         raise ValueError(f"no numbers in {metric!r}")
     edges = sorted(set(values.values()))
@@ -36,8 +36,8 @@ def equal_frequency(df: DataFrame, metric: str, bins: int = 3, labels: list[str]
     return _bins(df, metric, edges, fits)
 
 
-def quartiles(df: DataFrame, metric: str, small: int | None = None) -> DataFrame:
-    return equal_frequency(df, metric, 4, QUARTILES, small)
+def quartiles(df: DataFrame, metric: str) -> DataFrame:
+    return equal_frequency(df, metric, 4, QUARTILES)
 
 
 def equal_width(df: DataFrame, metric: str, bins: int = 3) -> DataFrame:

@@ -45,7 +45,7 @@ def _correlations(pairs: DataFrame, with_p: bool) -> DataFrame:
     return kept.orderBy(F.desc_nulls_last(F.abs("correlation")), "column_a", "column_b").select(*columns)
 
 
-def spearman(df: DataFrame, columns: list[str], with_p: bool = True, small: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str], with_p: bool = True) -> DataFrame:
     """Rank correlation of every pair over the rows where both are numbers.
 
     Pairs whose rows are the same (they miss the same columns' gaps) share one pass. A
@@ -61,12 +61,12 @@ def spearman(df: DataFrame, columns: list[str], with_p: bool = True, small: int
         groups.setdefault(frozenset(gappy & set(pair)), []).append(pair)
     out = None
     for gaps, members in groups.items():
-        part = _rank_correlations(numbers, columns, sorted(gaps), members, small)
+        part = _rank_correlations(numbers, columns, sorted(gaps), members)
         out = part if out is None else out.unionByName(part)
     return _correlations(out, with_p)
 
 
-def _rank_correlations(numbers: DataFrame, columns: list[str], gaps: list[str], pairs: list[tuple[str, str]], small: int | None) -> DataFrame:
+def _rank_correlations(numbers: DataFrame, columns: list[str], gaps: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """Correlation of the average ranks of each pair over the rows without the gaps."""
     names = {c: f"x{columns.index(c)}" for pair in pairs for c in pair}
     kept = numbers.select(*names.values())
@@ -76,7 +76,7 @@ def _rank_correlations(numbers: DataFrame, columns: list[str], gaps: list[str],
     for n in names.values():
         mine = kept.groupBy(F.lit(n).alias("side"), F.col(n).alias("v")).agg(F.count("*").alias("w"))
         counts = mine if counts is None else counts.unionByName(mine)
-    upto = running_totals(counts, ["side"], "v", "w", "upto", small=small)
+    upto = running_totals(counts, ["side"], "v", "w", "upto")
     ranks = saved(upto.select("side", "v", (F.col("upto") - F.col("w") + (F.col("w") + 1) / 2).alias("rank")))
     sizes = {r["side"]: r["count"] for r in ranks.groupBy("side").count().collect()}
     for n in names.values():
@@ -88,11 +88,11 @@ def _rank_correlations(numbers: DataFrame, columns: list[str], gaps: list[str],
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*", "n")
 
 
-def distribution(df: DataFrame, metric: str, small: int | None = None) -> DataFrame:
+def distribution(df: DataFrame, metric: str) -> DataFrame:
     """One row: count, mean, population deviation, range and five percentiles."""
     x = number(df, metric)
     names = {0.05: "p5", 0.25: "p25", 0.5: "p50", 0.75: "p75", 0.95: "p95"}
-    q = quantiles(df, [metric], list(names), small=small).agg(F.struct(*[
+    q = quantiles(df, [metric], list(names)).agg(F.struct(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()]).alias("q"))
     return df.agg(F.count(x).alias("count"), F.round(F.avg(x), 2).alias("mean"), F.round(F.stddev_pop(x), 2).alias("std"),
                   F.round(F.min(x), 2).alias("min"), F.round(F.max(x), 2).alias("max")).where(F.col("count") >= 2).select(

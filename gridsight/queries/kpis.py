@@ -80,7 +80,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY round(v, 6) DESC, label) AS rank, co
 SELECT label, round(v, 2) AS value, rank, group_count, CASE WHEN rank = 1 THEN 'highest' WHEN rank = group_count THEN 'lowest' END AS extreme FROM r""")
 def compare_customers(spark, folder):
     # Many groups: ranked by range-sorted parts, the form large results take.
-    return kpi.compare_groups(table(spark, folder, "orders"), "o_totalprice", "o_custkey", small=0)
+    return kpi.compare_groups(table(spark, folder, "orders"), "o_totalprice", "o_custkey")
 
 
 def _summary_sql(keys: list[str], prior: bool) -> str:

@@ -177,7 +177,7 @@ def chart_rule_violations(spark, folder):
  round(quantile_cont(o_totalprice, 0.75), 6) AS q75, max(o_totalprice) AS most FROM orders GROUP BY o_orderpriority""")
 def chart_box(spark, folder):
     # Forced onto the bracketed quantiles, the form large tables take.
-    box = charts.box_chart(table(spark, folder, "orders"), "o_totalprice", "o_orderpriority", small=0)
+    box = charts.box_chart(table(spark, folder, "orders"), "o_totalprice", "o_orderpriority")
     return box.withColumns({c: F.round(c, 6) for c in ("q25", "median", "q75")})
 
 

@@ -80,9 +80,8 @@ def test_correlation(spark):
     got = {(r["column_a"], r["column_b"]): r for r in stats.pearson(df, ["x", "y", "z"]).collect()}
     assert got[("x", "y")]["correlation"] == round(np.corrcoef(data.x, data.y)[0, 1], 4) and got[("x", "y")]["p_value"] == 0.0
     ranks = data.rank()
-    for small in (None, 0):
-        rho = {(r["column_a"], r["column_b"]): r["correlation"] for r in stats.spearman(df, ["x", "y", "z"], with_p=False, small=small).collect()}
-        assert all(abs(rho[(a, b)] - np.corrcoef(ranks[a], ranks[b])[0, 1]) < 1e-4 for a, b in rho)
+    rho = {(r["column_a"], r["column_b"]): r["correlation"] for r in stats.spearman(df, ["x", "y", "z"], with_p=False).collect()}
+    assert all(abs(rho[(a, b)] - np.corrcoef(ranks[a], ranks[b])[0, 1]) < 1e-4 for a, b in rho)
 
 
 def test_p_values():
@@ -134,9 +133,8 @@ def test_deviation_outliers(spark):
     z = np.maximum(abs((a - a.mean()) / a.std()), abs((b - b.mean()) / b.std()))
     got = anomaly.zscore(df, ["a", "b"], ["id"]).collect()
     assert {r["id"] for r in got} == set(np.flatnonzero(z > 3)) and got[0]["id"] == 7
-    for small in (None, 0):
-        assert anomaly.iqr(df, ["a", "b"], ["id"], small=small).first()["id"] == 7
-        assert anomaly.modified_zscore(df, ["a", "b"], ["id"], small=small).first()["id"] == 7
+    assert anomaly.iqr(df, ["a", "b"], ["id"]).first()["id"] == 7
+    assert anomaly.modified_zscore(df, ["a", "b"], ["id"]).first()["id"] == 7
     flat = frame(spark, id=[1, 2, 3], a=[5.0, 5.0, 5.0])
     assert anomaly.zscore(flat, ["a"], ["id"]).count() == 0 and anomaly.iqr(flat, ["a"], ["id"]).count() == 0
 
@@ -167,9 +165,16 @@ def test_lof_against_brute_force(spark):
     density = 1 / (np.maximum(d[:, -1][near], d).mean(1) + 1e-10)
     expected = density[near].mean(1) / density
     df = frame(spark, id=list(range(len(x))), a=x[:, 0], b=x[:, 1])
-    for small in (None, 0):
-        got = neighbors.local_outlier_factor(df, ["a", "b"], ["id"], small=small).toPandas().sort_values("id")["lof"].to_numpy()
-        assert np.allclose(got, expected, rtol=1e-6)
+    got = neighbors.local_outlier_factor(df, ["a", "b"], ["id"]).toPandas().sort_values("id")["lof"].to_numpy()
+    assert np.allclose(got, expected, rtol=1e-6)
+
+
+def test_infinity_is_no_number(spark):
+    values = [float(i % 7) for i in range(100)] + [500.0, float("inf"), float("-inf"), float("nan")]
+    df = frame(spark, id=list(range(104)), a=values, t=[str(v) for v in values[:101]] + ["1e999", "-1e999", "x"])
+    for name in ("a", "t"):
+        for flagged in (anomaly.zscore(df, [name], ["id"]), anomaly.iqr(df, [name], ["id"]), anomaly.modified_zscore(df, [name], ["id"])):
+            assert [r["id"] for r in flagged.collect()] == [100]
 
 
 def test_dbscan_against_brute_force(spark):
