@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridsight.functions.parsing import as_text, kinds, missing, number
 from gridsight.functions.quantiles import medians
-from gridsight.functions.scale import saved, spread
+from gridsight.functions.scale import row_numbers, saved, spread
 
 MIN_CLASS_SIZE = 20
 TEST_SHARE = 5  # one row in five
 BINS = 64
-MAX_LEVELS = 10_000
+# A category of more levels has them hashed into so many.
+LEVELS = 254
 
 
 @dataclass
@@ -32,9 +35,13 @@ def fold_of(key: list[str], folds: int = TEST_SHARE, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]), F.lit(folds)).cast("int")
 
 
-def prepare(df: DataFrame, features: list[str], key: list[str], target: Column, one_hot: bool = False, fill: str = "median") -> Prepared:
+def prepare(df: DataFrame, features: list[str], key: list[str], target: Column, one_hot: bool = False, fill: str = "median",
+            stratified: bool = False, drop_empty: bool = False) -> Prepared:
     """Numbers filled with the column's median (or 0), text as an indexed category.
 
+    ``stratified`` deals each class evenly over the folds, in the order of a hash of the key;
+    ``drop_empty`` leaves out rows without any feature value.
+
     Category levels are learnt inside the pipeline; unseen ones get a level of their own.
     """
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -49,6 +56,13 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
         *[F.coalesce(F.when(~missing(df, c), as_text(df, c)), F.lit("Unknown")).alias(f"w_{c}") for c in words],
         fold_of(key).alias("fold"),
     ).where(F.col("target").isNotNull())
+    if drop_empty:
+        some = [F.col(f"n_{c}").isNotNull() for c in numeric] + [F.col(f"w_{c}") != "Unknown" for c in words]
+        rows = rows.where(reduce(or_, some))
+    if stratified:
+        order = [F.col("target"), F.xxhash64(F.lit(42), *[F.col(f"`{k}`") for k in key]), *[F.col(f"`{k}`") for k in key]]
+        rows = row_numbers(rows, order, "_rank").withColumn("fold", (F.col("_rank") % TEST_SHARE).cast("int")).drop("_rank")
+    rows = saved(spread(rows))
     if numeric:
         holes = rows.agg(*[F.count_if(F.col(f"n_{c}").isNull()).alias(f"h_{i}") for i, c in enumerate(numeric)]).first()
         gaps = [f"n_{c}" for i, c in enumerate(numeric) if holes[f"h_{i}"]]
@@ -59,12 +73,9 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
     if words and not one_hot:
         # Trees split a category by its levels, so there must be a bin for each.
         levels = rows.agg(*[F.count_distinct(f"w_{c}").alias(f"l_{i}") for i, c in enumerate(words)]).first()
-        bins = max(BINS, 2 + max(levels[f"l_{i}"] for i in range(len(words))))
-        wide = [c for i, c in enumerate(words) if levels[f"l_{i}"] > MAX_LEVELS]
-        if wide:
-            raise ValueError(f"too many levels for a category (over {MAX_LEVELS}): {wide}")
-    # Every stage and fold reads the prepared rows.
-    rows = saved(spread(rows))
+        wide = [c for i, c in enumerate(words) if levels[f"l_{i}"] > LEVELS]
+        rows = rows.withColumns({f"w_{c}": F.pmod(F.xxhash64(f"w_{c}"), F.lit(LEVELS)).cast("string") for c in wide})
+        bins = max(BINS, 2 + max(min(LEVELS, levels[f"l_{i}"]) for i in range(len(words))))
     stages: list[Any] = [StringIndexer(inputCol=f"w_{c}", outputCol=f"i_{c}", handleInvalid="keep") for c in words]
     inputs = [f"n_{c}" for c in numeric] + [f"i_{c}" for c in words]
     if one_hot and words:
@@ -77,12 +88,12 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
 def merged_classes(df: DataFrame, target: str, smallest: int = MIN_CLASS_SIZE) -> Column:
     """The target as text with classes of fewer than ``smallest`` rows merged into OTHER.
 
-    Class sizes are one small row per class; the rare ones become a literal list.
+    The classes that are not rare become a literal list: a class of at least ``smallest`` rows each.
     """
     text = F.when(~missing(df, target), as_text(df, target))
     sizes = df.where(~missing(df, target)).groupBy(as_text(df, target).alias("c")).agg(F.count("*").alias("n"))
-    rare = [r["c"] for r in sizes.where(F.col("n") < smallest).select("c").collect()]
-    return F.when(text.isin(rare), "OTHER").otherwise(text) if rare else text
+    frequent = [r["c"] for r in sizes.where(F.col("n") >= smallest).select("c").collect()]
+    return F.when(text.isin(frequent) | text.isNull(), text).otherwise("OTHER")
 
 
 def _class_weights(rows: DataFrame) -> Column:
@@ -98,6 +109,7 @@ class Fitted:
     predictions: DataFrame
     columns: list[str]
     metrics: dict[str, float]
+    rows: DataFrame | None = None
 
 
 def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
@@ -114,7 +126,8 @@ def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[st
     if prepared is None:
         if method == "logistic":
             features = [c for c in features if kinds(df)[c] in ("number", "boolean")]
-        prepared = prepare(df, features, key, merged_classes(df, target), one_hot=method == "rf", fill="zero" if method == "gbt" else "median")
+        prepared = prepare(df, features, key, merged_classes(df, target), one_hot=method == "rf", fill="zero" if method == "gbt" else "median",
+                           stratified=True, drop_empty=method == "gbt")
     rows = prepared.rows
     train, test = rows.where(F.col("fold") != holdout), rows.where(F.col("fold") == holdout)
     if rows.limit(least).count() < least:
@@ -125,7 +138,7 @@ def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[st
     if method == "gbt":
         base = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=depth or 5, subsamplingRate=0.8, maxBins=prepared.bins, weightCol="weight", **common)
         several = len(labels.labels) > 2
-        learner = OneVsRest(classifier=base, labelCol="label", featuresCol="features", weightCol="weight") if several else base
+        learner = OneVsRest(classifier=base, labelCol="label", featuresCol="features", weightCol="weight", parallelism=4) if several else base
     elif method == "rf":
         learner = RandomForestClassifier(numTrees=trees, maxDepth=depth or 10, **common)
     else:
@@ -135,7 +148,12 @@ def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[st
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
     model = Pipeline(stages=[labels, *stages, learner, back]).fit(weighted)
     scored = model.transform(test.withColumn("weight", F.lit(1.0))).select(*key, F.col("target").alias("actual"), "predicted")
-    return Fitted(model, scored, prepared.columns, {})
+    return Fitted(model, scored, prepared.columns, {}, rows)
+
+
+def classify(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Prepared rows, all of them, with their ``actual`` and ``predicted`` class by a fitted or loaded model."""
+    return model.transform(rows.withColumn("weight", F.lit(1.0))).select(*keep, F.col("target").alias("actual"), "predicted")
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -260,7 +278,7 @@ def cross_validate(df: DataFrame, target: str, features: list[str], key: list[st
                    depth: int | None = None, folds: int = TEST_SHARE) -> DataFrame:
     """Accuracy and macro F1 per fold, each fold predicted by a fit on the others."""
     text = merged_classes(df, target)
-    prepared = prepare(df, features, key, text, one_hot=method == "rf", fill="zero" if method == "gbt" else "median")
+    prepared = prepare(df, features, key, text, one_hot=method == "rf", fill="zero" if method == "gbt" else "median", stratified=True, drop_empty=method == "gbt")
     parts = []
     for fold in range(folds):
         fitted = fit_classifier(df, target, features, key, method, trees, depth, holdout=fold, prepared=prepared)

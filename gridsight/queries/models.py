@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from gridsight.functions.scale import saved, shared_folder
 from gridsight.operators import anomaly, cluster, importance, learn, neighbors, timeseries as ts
 from gridsight.plans.inputs import FINANCE, SALES
 from gridsight.plans.kpis import DRIVER_LABELS
@@ -67,7 +71,7 @@ def cluster_kmeans(spark, folder):
 
 @query("cluster_ward")
 def cluster_ward(spark, folder):
-    assigned, _ = cluster.ward(table(spark, folder, "lineitem").select(*LINE_FEATURES), LINE_FEATURES, micro=100)
+    assigned, _ = cluster.ward(table(spark, folder, "lineitem").select(*LINE_FEATURES), LINE_FEATURES)
     return cluster.cluster_profiles(assigned, LINE_FEATURES)
 
 
@@ -79,9 +83,8 @@ def cluster_ward_merges(spark, folder):
 @query("anomaly_iforest_score")
 def anomaly_iforest_score(spark, folder):
     # Fit on order lines, save and load the forest as tables, then score the lines.
-    from gridsight.functions.scale import saved
     lines = table(spark, folder, "lineitem").withColumn("line_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    nodes, scaling = anomaly.fit_forest(lines, LINE_FEATURES, "line_key", trees=50)
+    nodes, scaling = anomaly.fit_forest(lines, LINE_FEATURES, "line_key")
     return anomaly.score_forest(lines, saved(nodes), scaling, ["l_orderkey", "l_linenumber"])
 
 
@@ -99,23 +102,37 @@ def _labelled(spark, folder):
     return prepared(spark, folder, LABELLED)
 
 
-def _classifier(spark, folder, method, trees, depth=None):
-    return learn.fit_classifier(_labelled(spark, folder), "driver", NUMBERS + WORDS, KEY, method, trees=trees, depth=depth)
+_FITTED: dict[tuple, learn.Fitted] = {}
+REGRESSION = {"reg_gbt": ("o_totalprice", ["l_quantity", "l_extendedprice", "l_discount", *WORDS], "gbt"),
+              "reg_rf": ("l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", *WORDS], "rf")}
+
+
+def _fitted(spark, folder, name) -> learn.Fitted:
+    """A model with the operator's defaults, fitted once per session and table folder, as several queries report on it."""
+    place = (spark.sparkContext.applicationId, folder, name)
+    if place not in _FITTED:
+        rows = _labelled(spark, folder)
+        if name in REGRESSION:
+            target, features, method = REGRESSION[name]
+            _FITTED[place] = learn.fit_regressor(rows, target, features, KEY, method)
+        else:
+            _FITTED[place] = learn.fit_classifier(rows, "driver", NUMBERS + WORDS, KEY, name)
+    return _FITTED[place]
 
 
 @query("clf_gbt")
 def clf_gbt(spark, folder):
-    return learn.classification_metrics(_classifier(spark, folder, "gbt", 5, 4).predictions)
+    return learn.classification_metrics(_fitted(spark, folder, "gbt").predictions)
 
 
 @query("clf_rf")
 def clf_rf(spark, folder):
-    return learn.classification_metrics(_classifier(spark, folder, "rf", 20, 8).predictions)
+    return learn.classification_metrics(_fitted(spark, folder, "rf").predictions)
 
 
 @query("clf_logistic")
 def clf_logistic(spark, folder):
-    return learn.classification_metrics(_classifier(spark, folder, "logistic", 0).predictions)
+    return learn.classification_metrics(_fitted(spark, folder, "logistic").predictions)
 
 
 @query("clf_majority", """SELECT CAST(quality AS VARCHAR) || '-' || CAST(toxic AS VARCHAR) AS class, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 4) AS share,
@@ -126,40 +143,52 @@ def clf_majority(spark, folder):
 
 @query("confusion_matrix")
 def confusion_matrix(spark, folder):
-    return learn.confusion(_classifier(spark, folder, "rf", 10, 6).predictions)
+    return learn.confusion(_fitted(spark, folder, "rf").predictions)
 
 
 @query("class_report")
 def class_report(spark, folder):
-    return learn.class_metrics(_classifier(spark, folder, "rf", 10, 6).predictions)
+    return learn.class_metrics(_fitted(spark, folder, "rf").predictions)
 
 
 @query("cross_validation")
 def cross_validation(spark, folder):
-    return learn.cross_validate(_labelled(spark, folder), "driver", NUMBERS, KEY, "rf", trees=5, depth=5)
+    return learn.cross_validate(_labelled(spark, folder), "driver", NUMBERS, KEY, "logistic")
 
 
 @query("predicted_driver")
 def predicted_driver(spark, folder):
-    return learn.predicted_driver(_classifier(spark, folder, "rf", 10, 6).predictions)
+    # The saved model is loaded and classifies every row.
+    fitted = _fitted(spark, folder, "rf")
+    path = f"{shared_folder(spark)}/gridsight_models/{uuid.uuid4().hex}"
+    learn.save_model(fitted, path)
+    return learn.predicted_driver(learn.classify(learn.load_model(path), fitted.rows, KEY))
 
 
 @query("reg_gbt")
 def reg_gbt(spark, folder):
-    fitted = learn.fit_regressor(_labelled(spark, folder), "o_totalprice", ["l_quantity", "l_extendedprice", "l_discount", *WORDS], KEY, "gbt", trees=10, depth=4)
-    return learn.regression_metrics(fitted.predictions)
+    return learn.regression_metrics(_fitted(spark, folder, "reg_gbt").predictions)
 
 
 @query("reg_rf")
 def reg_rf(spark, folder):
-    fitted = learn.fit_regressor(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", *WORDS], KEY, "rf", trees=10, depth=6)
-    return learn.regression_metrics(fitted.predictions)
+    return learn.regression_metrics(_fitted(spark, folder, "reg_rf").predictions)
 
 
 @query("key_drivers")
 def key_drivers(spark, folder):
-    fitted = learn.fit_regressor(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", *WORDS], KEY, "rf", trees=10, depth=6)
-    return learn.importances(fitted)
+    return learn.importances(_fitted(spark, folder, "reg_rf"))
+
+
+@query("training_summary")
+def training_summary(spark, folder):
+    """The training job: every model with the metrics of its held-out fold in one table."""
+    parts = []
+    for name in ("gbt", "rf", "logistic", "reg_gbt", "reg_rf"):
+        metrics = (learn.regression_metrics if name in REGRESSION else learn.classification_metrics)(_fitted(spark, folder, name).predictions)
+        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics.columns])
+        parts.append(metrics.select(F.lit(name).alias("model"), F.explode(pairs).alias("m")).select("model", "m.*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("reg_ols", """WITH r AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n FROM lineitem
@@ -172,7 +201,7 @@ def reg_ols(spark, folder):
 @query("fc_gbt")
 def fc_gbt(spark, folder):
     series = ts.build_series(prepared(spark, folder, SALES), "o_orderdate", "o_totalprice", ["n_name"], "month")
-    return learn.regression_metrics(learn.lagged_forecast(series, ["n_name"], trees=10).predictions)
+    return learn.regression_metrics(learn.lagged_forecast(series, ["n_name"]).predictions)
 
 
 IMPORTANT = ["exposure_growth_variance", "premium_rate_variance", "claim_severity_variance", "cost_actual"]
@@ -187,12 +216,17 @@ def imp_correlation(spark, folder):
 
 @query("imp_permutation")
 def imp_permutation(spark, folder):
-    return importance.permutation_importance(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", "l_returnflag"], KEY, repeats=3, trees=10, depth=6)
+    return importance.permutation_importance(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", "l_returnflag"], KEY)
 
 
 @query("imp_shapley")
 def imp_shapley(spark, folder):
-    return importance.shapley_importance(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", "l_returnflag"], KEY, orders=2, trees=10, depth=5)
+    return importance.shapley_importance(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", "l_returnflag"], KEY)
+
+
+@query("class_attribution")
+def class_attribution(spark, folder):
+    return importance.class_attribution(_labelled(spark, folder), "driver", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"], KEY)
 
 
 assert set(IMPORTANT[:3]) <= set(DRIVER_LABELS)

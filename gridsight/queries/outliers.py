@@ -53,13 +53,13 @@ def anomaly_mad(spark, folder):
 @query("anomaly_iforest")
 def anomaly_iforest(spark, folder):
     lines = _lines(spark, folder).withColumn("line_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    nodes, scaling = anomaly.fit_forest(lines, FEATURES, "line_key", trees=100)
+    nodes, scaling = anomaly.fit_forest(lines, FEATURES, "line_key")
     return anomaly.forest_anomalies(anomaly.score_forest(lines, nodes, scaling, KEEP))
 
 
 @query("anomaly_ocsvm")
 def anomaly_ocsvm(spark, folder):
-    return anomaly.one_class_boundary(_lines(spark, folder), FEATURES, KEEP, rounds=8)
+    return anomaly.one_class_boundary(_lines(spark, folder), FEATURES, KEEP)
 
 
 # --- Segments ----------------------------------------------------------------------
