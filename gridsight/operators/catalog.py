@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridsight.functions.parsing import as_text, missing
+from gridsight.functions.scale import row_numbers, saved
 
 
 def file_fingerprints(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -60,15 +61,21 @@ def known_content(df: DataFrame, catalog: DataFrame, fingerprint: str = "fingerp
 def version_chain(uploads: DataFrame, name: str, uploaded_at: str, fingerprint: str, tie: str | None = None) -> DataFrame:
     """Versions per file name: new content gets the next number and knows its predecessor.
 
-    Content already seen under any name is no new version. The first upload of each
-    content is found by aggregation, so the window holds one row per content of a name.
+    Content already seen under any name is no new version. Firsts are numbered over all names at
+    once, and a name's versions count from its own first number, so no name needs one task.
     """
     order = [F.col(uploaded_at)] + ([F.col(tie)] if tie else [])
     moment = F.struct(*order, F.col(name)).alias("m")
     firsts = uploads.groupBy(fingerprint).agg(F.min(moment).alias("m")).select(
         F.col(fingerprint), F.col(f"m.{name}").alias(name), F.col(f"m.{uploaded_at}").alias(uploaded_at), *([F.col(f"m.{tie}").alias(tie)] if tie else []))
-    chain = W.partitionBy(name).orderBy(uploaded_at, *([tie] if tie else []), fingerprint)
-    return firsts.withColumn("version", F.row_number().over(chain)).withColumn("previous_fingerprint", F.lag(fingerprint).over(chain))
+    columns = firsts.columns
+    place = [F.col(c) for c in (name, uploaded_at, *([tie] if tie else []), fingerprint)]
+    numbered = saved(row_numbers(firsts, place, "_place"))
+    begins = saved(numbered.groupBy(name).agg(F.min("_place").alias("_begin")))
+    before = numbered.select((F.col("_place") + 1).alias("_place"), F.col(name).alias("_name"), F.col(fingerprint).alias("previous_fingerprint"))
+    joined = numbered.join(begins, numbered[name].eqNullSafe(begins[name])).select(*[numbered[c] for c in columns], "_place", "_begin").join(before, "_place", "left")
+    return joined.select(*columns, (F.col("_place") - F.col("_begin") + 1).cast("int").alias("version"),
+                         F.when(F.col(name).eqNullSafe(F.col("_name")), F.col("previous_fingerprint")).alias("previous_fingerprint"))
 
 
 def reference_counts(masters: DataFrame, copies: DataFrame, fingerprint: str, deleted: str, uploaded_at: str) -> DataFrame:
@@ -92,6 +99,7 @@ def upsert_latest(current: DataFrame, changes: DataFrame, key: str, written_at:
     return both.groupBy(key).agg(newest).select(key, "r.*")
 
 
-def newest_first(catalog: DataFrame, uploaded_at: str, tie: str, limit: int = 100) -> DataFrame:
-    """The catalog's latest entries: a top-k list."""
-    return catalog.orderBy(F.desc(uploaded_at), F.asc(tie)).limit(limit)
+def newest_first(catalog: DataFrame, uploaded_at: str, tie: str, limit: int | None = 100) -> DataFrame:
+    """The catalog's latest entries: a top-k list, or all of them for ``None``."""
+    ordered = catalog.orderBy(F.desc(uploaded_at), F.asc(tie))
+    return ordered if limit is None else ordered.limit(limit)

@@ -231,9 +231,10 @@ def secondary_domains(described: DataFrame, domain: str) -> DataFrame:
     )
 
 
-def expectations(described: DataFrame) -> DataFrame:
-    """Which columns must be filled and which must be unique, judged by name."""
-    unique = F.col("column").rlike(V.EXPECTED_UNIQUE_NAME)
+def expectations(described: DataFrame, descriptions: dict[str, str] | None = None) -> DataFrame:
+    """Which columns must be filled and which must be unique, judged by name or by a description that says so."""
+    said = [c for c, text in (descriptions or {}).items() if "unique identifier" in (text or "").lower()]
+    unique = F.col("column").rlike(V.EXPECTED_UNIQUE_NAME) | F.col("column").isin(said)
     return described.select("column", (~unique).alias("mandatory"), unique.alias("expected_unique"))
 
 

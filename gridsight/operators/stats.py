@@ -148,3 +148,19 @@ def frequent_itemsets(df: DataFrame, basket: str, item: str, min_support: float)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, floor - 0.5) / kept) if kept else 1.0).fit(lists)
     return model.freqItemsets.where(F.col("freq") >= F.lit(floor)).select(
         F.array_sort("items").alias("items"), F.size("items").alias("size"), "freq", F.lit(baskets).alias("baskets"))
+
+
+def association_rules(itemsets: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+    """``antecedent, consequent, confidence, lift, support`` from frequent item sets, one consequent each.
+
+    Every part of a frequent set is frequent, so its frequency is among the sets.
+    """
+    sets = saved(itemsets)
+    sides = sets.where(F.col("size") > 1).select("items", "freq", "baskets", F.explode("items").alias("consequent")).select(
+        F.array_except("items", F.array("consequent")).alias("antecedent"), "consequent", "freq", "baskets")
+    left = sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("_left"))
+    right = sets.where(F.col("size") == 1).select(F.col("items")[0].alias("consequent"), F.col("freq").alias("_right"))
+    confidence = F.col("freq") / F.col("_left")
+    return sides.join(left, "antecedent").join(right, "consequent").where(confidence >= min_confidence).select(
+        "antecedent", "consequent", F.round(confidence, 4).alias("confidence"),
+        F.round(confidence / (F.col("_right") / F.col("baskets")), 4).alias("lift"), F.round(F.col("freq") / F.col("baskets"), 6).alias("support"))

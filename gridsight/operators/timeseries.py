@@ -127,6 +127,21 @@ def exponential_smoothing(series: DataFrame, keys: list[str] = (), periods: int
     return _future(folded, keys, periods, F.col("f.level"), std, _direction(F.col("first_y"), F.col("f.level")))
 
 
+def smoothed_series(series: DataFrame, keys: list[str] = (), alpha: float = 0.3) -> DataFrame:
+    """``keys…, ds, y, smoothed``: the level of exponential smoothing after each point."""
+    keys = list(keys)
+    start = F.array().cast("array<struct<ds:date,y:double,level:double>>")
+
+    def step(levels: Column, point: Column) -> Column:
+        level = F.when(F.size(levels) == 0, point["y"]).otherwise(alpha * point["y"] + (1 - alpha) * F.element_at(F.concat(F.array(F.struct(
+            point["ds"].alias("ds"), point["y"].alias("y"), point["y"].alias("level"))), levels), -1)["level"])
+        return F.concat(levels, F.array(F.struct(point["ds"].alias("ds"), point["y"].alias("y"), level.alias("level"))))
+
+    points = F.array_sort(F.collect_list(F.struct(F.col("ds").cast("date").alias("ds"), F.col("y").cast("double").alias("y"))))
+    folded = series.groupBy(*keys).agg(points.alias("p")).select(*keys, F.explode(F.aggregate("p", start, step)).alias("s"))
+    return folded.select(*keys, "s.ds", F.round("s.y", 2).alias("y"), F.round("s.level", 2).alias("smoothed"))
+
+
 def autoregressive(series: DataFrame, keys: list[str] = (), periods: int = 6) -> DataFrame:
     """AR(1) by least squares on the previous value, forecast in closed form."""
     keys = list(keys)

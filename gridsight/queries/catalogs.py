@@ -14,19 +14,20 @@ def _digest(columns: list[str]) -> str:
     return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-1:' ELSE CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END" for c in columns) + ")"
 
 
-CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+# The balance in whole cents, as engines write out doubles differently.
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "cents"]
 
 
-@query("table_fingerprint", f"""WITH r AS (SELECT {_digest(CUSTOMER)} AS h FROM customer),
+@query("table_fingerprint", f"""WITH r AS (SELECT {_digest(CUSTOMER)} AS h FROM (SELECT *, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)),
 s AS (SELECT {', '.join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS h{i}" for i in range(4))}, count(*) AS n FROM r)
 SELECT sha256(CAST(h0 AS VARCHAR) || '|' || CAST(h1 AS VARCHAR) || '|' || CAST(h2 AS VARCHAR) || '|' || CAST(h3 AS VARCHAR) || '|' || CAST(n AS VARCHAR)) AS fingerprint, n AS row_count FROM s""")
 def table_fingerprint(spark, folder):
-    return catalog.table_fingerprint(table(spark, folder, "customer").select(*CUSTOMER))
+    return catalog.table_fingerprint(table(spark, folder, "customer").withColumn("cents", F.round(F.col("c_acctbal") * 100).cast("bigint")).select(*CUSTOMER))
 
 
-@query("row_fingerprints", f"SELECT doc_id, {_digest(['text', 'lang'])} AS fingerprint FROM documents")
+@query("row_fingerprints", f"SELECT doc_id, {_digest(['doc_id', 'text', 'lang', 'source', 'n_chars'])} AS fingerprint FROM documents")
 def row_fingerprints(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", catalog.row_fingerprint(table(spark, folder, "documents"), ["text", "lang"]).alias("fingerprint"))
+    return table(spark, folder, "documents").select("doc_id", catalog.row_fingerprint(table(spark, folder, "documents"), ["doc_id", "text", "lang", "source", "n_chars"]).alias("fingerprint"))
 
 
 @query("file_fingerprints")

@@ -15,15 +15,17 @@ from gridsight.sources import sinks, tables
 NULLS = ", ".join(f"'{t}'" for t in tables.NULL_TOKENS)
 
 
-@query("scan_na_normalise", f"""
-WITH card AS ({CARD})
-SELECT CAST(customer_id AS VARCHAR) AS customer_id,
-       CASE WHEN channel NOT IN ({NULLS}) THEN channel END AS channel,
-       CASE WHEN email NOT IN ({NULLS}) THEN email END AS email,
-       CAST(nation_no AS VARCHAR) AS nation_no FROM card""")
+CARD_COLUMNS = ["customer_id", "customer_name", "email", "contact", "segment", "channel", "currency", "country", "active_flag", "created_date",
+                "mixed_code", "account_balance", "discount_rate", "nation_no", "notes"]
+
+
+@query("scan_na_normalise", f"WITH card AS ({CARD}) SELECT " + ", ".join(
+    f"CASE WHEN CAST({c} AS VARCHAR) NOT IN ({NULLS}) THEN CAST({c} AS VARCHAR) END AS {c}" for c in CARD_COLUMNS) + " FROM card")
 def scan_na_normalise(spark, folder):
-    card = prepared(spark, folder, CARD).select("customer_id", "channel", "email", "nation_no")
-    return tables.text_columns(card)
+    # The card as CSV files in the shared folder, read back as text.
+    path = f"{shared_folder(spark)}/gridsight_csv/{uuid.uuid4().hex}"
+    prepared(spark, folder, CARD).select(*CARD_COLUMNS).write.csv(path, header=True, quote='"', escape='"')
+    return tables.read_text_columns(spark, path)
 
 
 @query("scan_typed", """

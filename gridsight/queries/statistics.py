@@ -78,6 +78,16 @@ def frequent_itemsets(spark, folder):
     return stats.frequent_itemsets(lines, "l_orderkey", "p_brand", SUPPORT).withColumn("items", F.array_join("items", "|"))
 
 
+@query("association_rules", f"""WITH p AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT b) AS n FROM p),
+a AS (SELECT i, count(*) AS f FROM p GROUP BY i), s AS (SELECT x.i AS antecedent, y.i AS consequent, count(*) AS f FROM p x JOIN p y ON x.b = y.b AND x.i <> y.i GROUP BY x.i, y.i)
+SELECT antecedent, consequent, round(s.f / l.f, 4) AS confidence, round((s.f / l.f) / (r.f / n), 4) AS lift, round(s.f / n, 6) AS support
+FROM s JOIN a l ON l.i = antecedent JOIN a r ON r.i = consequent, n WHERE s.f >= {SUPPORT} * n""")
+def association_rules(spark, folder):
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sets = stats.frequent_itemsets(lines, "l_orderkey", "p_brand", SUPPORT).where("size <= 2")
+    return stats.association_rules(sets).withColumn("antecedent", F.array_join("antecedent", "|"))
+
+
 # --- Series: order value per month and market segment ------------------------------
 
 KEYS = ["c_mktsegment"]
@@ -138,6 +148,13 @@ def fc_exp_smoothing(spark, folder):
     return ts.exponential_smoothing(_series(spark, folder), KEYS)
 
 
+@query("smoothed_series", SERIES.replace("WITH sales", "WITH RECURSIVE sales", 1) + """, sm AS (SELECT c_mktsegment, x, ds, y, y AS level FROM gaps WHERE x = 0
+ UNION ALL SELECT g.c_mktsegment, g.x, g.ds, g.y, 0.3 * g.y + (1 - 0.3) * sm.level FROM sm JOIN gaps g ON g.c_mktsegment = sm.c_mktsegment AND g.x = sm.x + 1)
+SELECT c_mktsegment, ds, round(y, 2) AS y, round(level, 2) AS smoothed FROM sm""")
+def smoothed_series(spark, folder):
+    return ts.smoothed_series(_series(spark, folder), KEYS)
+
+
 @query("fc_autoregressive", _forecast_sql(
     """SELECT c_mktsegment, phi, c, sqrt(avg((y - phi * before - c) * (y - phi * before - c))) AS sd FROM gaps
  JOIN (SELECT c_mktsegment, regr_slope(y, before) AS phi, regr_intercept(y, before) AS c FROM gaps GROUP BY c_mktsegment) f USING (c_mktsegment) WHERE before IS NOT NULL GROUP BY c_mktsegment, phi, c""",

@@ -24,10 +24,15 @@ def normalise_nulls(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame
     ])
 
 
-def read_text_columns(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV scan with every column as text and missing tokens as null."""
+def read_text_columns(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+                      multi_line: bool = True) -> DataFrame:
+    """CSV scan with every column as text and missing tokens as null.
+
+    Quoted cells may hold line breaks; a file is then read by one task. For a folder of large files
+    without such cells pass ``multi_line=False``, which splits files.
+    """
     raw = spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding,
-                         quote='"', escape='"', multiLine=False)
+                         quote='"', escape='"', multiLine=multi_line)
     return normalise_nulls(raw)
 
 
