@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridsight.functions.conditions import condition, names_in
 from gridsight.functions.parsing import as_text, missing, moment, number, numeric_columns
-from gridsight.operators.profile import value_frequencies
+from gridsight.operators.profile import hashed_frequencies
 from gridsight.plans import vocabulary as V
 
 RULE_TYPES = [
@@ -197,7 +197,7 @@ def _unique_rows(df: DataFrame, rules: list[tuple[Rule, str]]) -> DataFrame:
     wanted = df.sparkSession.createDataFrame(
         [(r.rule_key, r.rule_type, r.severity, r.source, c) for r, c in rules],
         "rule_key string, rule_type string, severity string, source string, target string")
-    found = value_frequencies(df, sorted({c for _, c in rules})).groupBy("column").agg(
+    found = hashed_frequencies(df, sorted({c for _, c in rules})).groupBy("column").agg(
         F.sum("copies").alias("n"), F.count(F.lit(1)).alias("d"))
     n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(0))
     return wanted.join(found, F.col("target") == F.col("column"), "left").select(
@@ -250,17 +250,16 @@ def mine_invariants(df: DataFrame, columns: list[str] | None = None, threshold:
 def _varied(df: DataFrame, names: list[str], few: int) -> list[str]:
     """Columns of more than ``few`` distinct numbers.
 
-    Each pass finds every column's next larger value, one aggregate row, so nothing is
-    shuffled to count the distinct values of a wide-ranging column.
+    A sketch of a few values is all but exact, so columns it puts far above are settled by one
+    aggregate; the others have few values and are counted exactly by a second.
     """
-    above: dict[str, float | None] = {c: None for c in names}
-    for _ in range(few + 1):
-        if not above:
-            break
-        value = lambda c: number(df, c) if above[c] is None else F.when(number(df, c) > above[c], number(df, c))
-        row = df.agg(*[F.min(value(c)).alias(f"v{i}") for i, c in enumerate(above)]).first()
-        above = {c: row[f"v{i}"] for i, c in enumerate(list(above)) if row[f"v{i}"] is not None}
-    return list(above)
+    if not names:
+        return []
+    row = df.agg(*[F.approx_count_distinct(number(df, c), 0.02).alias(f"v{i}") for i, c in enumerate(names)]).first()
+    near = [c for i, c in enumerate(names) if row[f"v{i}"] <= 4 * few + 10]
+    exact = df.agg(*[F.count_distinct(number(df, c)).alias(f"v{i}") for i, c in enumerate(near)]).first() if near else []
+    rare = {c for c, n in zip(near, exact) if n <= few}
+    return [c for c in names if c not in rare]
 
 
 SEVERITY_ORDER = {"critical": 0, "warning": 1, "healthy": 2}

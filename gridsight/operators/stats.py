@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridsight.functions.parsing import as_text, missing, number
@@ -10,29 +12,38 @@ from gridsight.functions.scale import BROADCAST_ROWS, running_totals, saved
 from gridsight.functions.tails import p_value
 from gridsight.operators.charts import histogram
 
-PAIRS_PER_AGGREGATE = 60
-
 
 def _pairs(columns: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
 
 
 def pearson(df: DataFrame, columns: list[str], with_p: bool = True) -> DataFrame:
-    """Correlation of every pair over the rows where both are numbers, strongest first."""
-    pairs, parts = _pairs(columns), []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk, aggs, rows = pairs[start:start + PAIRS_PER_AGGREGATE], [], []
-        for i, (a, b) in enumerate(chunk):
-            x, y = number(df, a), number(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            aggs += [F.count_if(both).alias(f"n{i}"), F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}")]
-            rows.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                 F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")))
-        parts.append(df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _correlations(out, with_p)
+    """Correlation of every pair over the rows where both are numbers, strongest first.
+
+    One scan for the means and one for all co-moments about them, however many columns: each task
+    multiplies its batches by themselves and sends one row per pair.
+    """
+    numbers = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)).alias(f"x{i}") for i in range(len(columns))]).first()
+    centre = np.array(list(means), float)
+    upper = np.triu_indices(len(columns), 1)
+
+    def moments(batches):
+        sums = np.zeros((6, len(upper[0])))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - centre
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            parts = [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x]
+            sums += [p[upper] for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]))), *(pa.array(s) for s in sums)], ["pair", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    schema = "pair bigint, n double, sx double, sy double, sxx double, syy double, sxy double"
+    one = numbers.mapInArrow(moments, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    r = F.when(spread > 0, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(spread))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_pairs(columns))], "pair bigint, column_a string, column_b string")
+    return _correlations(one.where("n > 0").join(F.broadcast(names), "pair").select("column_a", "column_b", F.col("n").cast("bigint").alias("n"), r.alias("r")), with_p)
 
 
 def _correlations(pairs: DataFrame, with_p: bool) -> DataFrame:
