@@ -262,3 +262,56 @@ def test_catalog(spark):
     assert df.select(catalog.row_fingerprint(df)).distinct().count() == 4
     assert catalog.table_fingerprint(df).first() == catalog.table_fingerprint(df.orderBy(F.desc("x"))).first()
     assert catalog.table_fingerprint(df).first() != catalog.table_fingerprint(df.unionByName(df)).first()
+
+
+def labelled(spark, n=600):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    c = np.where(a > 0.5, "high", np.where(np.arange(n) % 10 == 0, "rare", "low"))
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "a": a, "b": b, "w": np.where(b > 0, "x", "y"), "c": c, "y": 3 * a + 0.1 * b}))
+
+
+def test_permutation_does_not_depend_on_partitions(spark):
+    df = labelled(spark)
+    got = [importance.permutation_importance(df.repartition(p), "y", ["a", "b"], ["id"], repeats=3, trees=10, depth=5).collect() for p in (1, 16)]
+    assert got[0] == got[1] and got[0][0]["feature"] == "a" and got[0][0]["importance"] > 10 * abs(got[0][1]["importance"])
+
+
+def test_stratified_folds_and_all_rows_classified(spark):
+    fitted = learn.fit_classifier(labelled(spark), "c", ["a", "b", "w"], ["id"], "rf", trees=10, depth=4)
+    folds = {(r["target"], r["fold"]): r["count"] for r in fitted.rows.groupBy("target", "fold").count().collect()}
+    for name in ("high", "low", "rare"):
+        sizes = [folds.get((name, f), 0) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1 and min(sizes) > 0
+    every = learn.classify(fitted.model, fitted.rows, ["id"])
+    assert every.count() == 600 and learn.predicted_driver(every).first()["rows_classified"] == 600
+
+
+def test_class_attribution(spark):
+    df = labelled(spark)
+    rows = importance.class_attribution(df, "c", ["a", "b", "w"], ["id"], trees=20)
+    got = {r["feature"]: r for r in rows.collect()}
+    assert {r["class"] for r in got.values()} == {"low"}
+    assert got["a"]["mean_abs_attribution"] > 5 * max(got["b"]["mean_abs_attribution"], got["w"]["mean_abs_attribution"])
+    high = df.where("a > 1.5").first()["id"]
+    one = {r["feature"]: r["attribution"] for r in importance.class_attribution(df, "c", ["a", "b", "w"], ["id"], record={"id": high}, trees=20).collect()}
+    assert one["a"] < -0.2
+
+
+def test_versions_across_names(spark):
+    rows = [("f", 1, "h1"), ("f", 2, "h2"), ("f", 3, "h1"), ("g", 2, "h3"), ("g", 4, "h4"), ("g", 5, "h5")]
+    got = {(r["name"], r["fp"]): (r["version"], r["previous_fingerprint"]) for r in
+           catalog.version_chain(spark.createDataFrame(rows, "name string, at int, fp string"), "name", "at", "fp").collect()}
+    assert got == {("f", "h1"): (1, None), ("f", "h2"): (2, "h1"), ("g", "h3"): (1, None), ("g", "h4"): (2, "h3"), ("g", "h5"): (3, "h4")}
+
+
+def test_wide_category_is_hashed(spark):
+    df = spark.range(2000).selectExpr("id", "concat('v', id) AS w", "cast(id % 7 AS double) AS a", "cast(id % 7 AS double) * 2 AS y")
+    fitted = learn.fit_regressor(df, "y", ["w", "a"], ["id"], "gbt", trees=3, depth=3)
+    assert learn.regression_metrics(fitted.predictions).first()["test_rows"] > 300
+
+
+def test_quoted_line_breaks_in_csv(spark, tmp_path):
+    from gridsight.sources import tables
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,NA\n')
+    assert sorted(map(tuple, tables.read_text_columns(spark, str(tmp_path)).collect())) == [("1", "two\nlines"), ("2", None)]
