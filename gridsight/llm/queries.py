@@ -72,7 +72,13 @@ def license_templates(spark: SparkSession, folder: str) -> DataFrame:
                         F.when(F.size("matches") > 0, 1.0).when(F.size("bases") > 0, 0.5).otherwise(0.0).alias("score"))
 
 
-@_query("op3_warc_members")
+@_query("op3_warc_members", """
+WITH sums AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM sums)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+           ((CAST('0x' || substr(h, 1 + 5 * (j // 4), 5) AS BIGINT) >> (15 - 5 * (j % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM firsts""")
 def warc_members(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.read(warc.write(table(spark, folder, "pages")), payloads=False)
     return found.select(warc.page_of("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
@@ -81,7 +87,7 @@ def warc_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_digests(documents: DataFrame) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    both = bpe.decode(bpe.encode(documents, ranks, public_tokenizers.PATTERN), ranks)
+    both = bpe.encode(documents, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -157,7 +163,16 @@ def additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
-@_query("op10_fm_index_decontamination")
+@_query("op10_fm_index_decontamination", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w, least(10, len(w)) AS l FROM benchmark),
+bi AS (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM b WHERE l > 0), bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM bi),
+di AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw)), dw AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM di),
+hits AS (SELECT doc_id, i, l, item_id FROM dw JOIN bw USING (l, g)), places AS (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM hits),
+covered AS (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""")
 def fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),

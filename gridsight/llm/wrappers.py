@@ -30,9 +30,12 @@ BULK = 0.7
 # Elements and words in class, id or role of parts that are not the article.
 _OUTSIDE = frozenset("head nav header footer aside form button select dialog menu object audio video canvas".split())
 _OUTSIDE_WORDS = re.compile(
-    r"(?:^|[-_])(?:nav|navbar|navigation|menu|header|masthead|banner|footer|sidebar|side|aside|complementary|ad|ads|advert|advertisement|sponsor|"
+    r"(?:^|[-_])(?:nav|navbar|navigation|menu|masthead|banner|footer|sidebar|aside|complementary|ad|ads|advert|advertisement|sponsor|"
     r"sponsored|promo|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|comment|comments|reply|replies|respond|disqus|share|sharing|social|"
-    r"related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|signup|login|search|form|widget|toolbar|pagination|pager|hidden|contentinfo)(?:$|[-_])")
+    r"related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|hidden|contentinfo)(?:$|[-_])|^(?:side|form)$")
+_HEADER_WORD = re.compile(r"(?:^|[-_])header(?:$|[-_])")
+# Such words tell what a page has or lacks, not what the element is.
+_ABOUT = re.compile(r"^(?:has|with|no|not|without|is)[-_]")
 _ARTICLE_WORDS = re.compile(r"(?:^|[-_])(?:article|articlebody|main)(?:$|[-_])|^(?:post|entry|story|page)[-_](?:content|body|text)$|^content$")
 
 
@@ -41,7 +44,11 @@ def outside(path: tuple[str, ...]) -> bool:
     within = False
     for key in path:
         tag, *words = key.split(".")
-        if tag in _OUTSIDE and not (tag == "header" and within) or any(_OUTSIDE_WORDS.search(w) for w in words) and tag not in ("html", "body", "page"):
+        if tag in ("html", "body", "page"):
+            continue
+        words = [w for w in words if not _ABOUT.search(w)]
+        header = tag == "header" or any(_HEADER_WORD.search(w) for w in words)
+        if header and not within or tag in _OUTSIDE and tag != "header" or any(_OUTSIDE_WORDS.search(w) for w in words):
             return True
         within |= tag == "article"
     return False

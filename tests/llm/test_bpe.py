@@ -29,7 +29,8 @@ def test_round_trip(spark, folder, block):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     rows += [(-1, None), (-2, ""), (-3, "   \n\n  x"), (-4, "<|endoftext|>"), (None, "no key"), (-5, "same"), (-5, "same"), (-6, "word " * 30_000), (-7, "ß" * 5000)]
     docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id bigint, text string, ids int").repartition(3)
-    got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_bytes=block), RANKS).collect()
+    got = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_bytes=block, decoded="both"), RANKS).collect()
+    assert all(r["both"] == r["decoded"] for r in got)
     key = lambda r: (str(r[0]), r[2])
     want = [(k, len(ids := LIBRARY.encode_ordinary(t or "")), np.array(ids, "<u4").tobytes(), (t or "").encode()) for k, t in rows]
     assert sorted([(r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in got], key=key) == sorted(want, key=key)

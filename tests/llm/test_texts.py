@@ -122,6 +122,14 @@ def test_wrappers(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("path, out", [
+    ("page html body.has-sidebar article.with-sidebar header.entry-header h1", False), ("page html body header.site-header h1", True),
+    ("page html body div.long-form p", False), ("page html body div.side-bar p", False), ("page html body div.post-comments p", True),
+    ("page html body article div.ad-slot p", True), ("page html body article.story p", False), ("page html body form p", True), ("page html head title", True)])
+def test_parts_outside_of_the_article(path, out):
+    assert wrappers.outside(tuple(path.split())) is out
+
+
 def test_page_query(spark, folder):
     import html
     import re
