@@ -125,7 +125,8 @@ def heatmap_chart(df: DataFrame, x: str, y: str, metric: str | None = None, meth
 
 
 def scatter_chart(df: DataFrame, x: str, y: str, order_by: list[str], points: int = SCATTER_POINTS) -> DataFrame:
-    """A repeatable sample of point pairs: the rows with the smallest key hashes."""
+    """A repeatable sample of point pairs: the rows with the smallest MD5 of their key, written with dashes between."""
+    digest = F.md5(F.concat_ws("-", *[F.col(f"`{k}`").cast("string") for k in order_by]).cast("binary"))
     both = df.where(number(df, x).isNotNull() & number(df, y).isNotNull())
-    return (both.orderBy(F.xxhash64(*order_by), *order_by).limit(points)
+    return (both.orderBy(digest, *order_by).limit(points)
             .select(*order_by, number(df, x).alias("x"), number(df, y).alias("y")))

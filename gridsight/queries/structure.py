@@ -186,6 +186,8 @@ def chart_heatmap(spark, folder):
     return charts.heatmap_chart(prepared(spark, folder, SALES), "r_name", "c_mktsegment", "o_totalprice")
 
 
-@query("chart_scatter")
+@query("chart_scatter", """SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)), l_orderkey, l_linenumber LIMIT 5000""")
 def chart_scatter(spark, folder):
     return charts.scatter_chart(table(spark, folder, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
