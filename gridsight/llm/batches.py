@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 # Bytes of text that one call of a function works on.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 3_000_000
 
 # Bytes of a word after A-Z are lower-cased: digits, a-z, and every byte of a character beyond ASCII.
 _BYTES = np.arange(256)
@@ -45,6 +45,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
         for batch in batches:
             for piece in pieces(batch, limit, column):
                 yield function(piece)
+            pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

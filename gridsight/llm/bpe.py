@@ -141,9 +141,11 @@ def _bucketed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text",
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, decoded: str | None = None) -> DataFrame:
     """``(key, n_tokens, ids)`` per document; ``ids`` are packed as little-endian 32-bit numbers.
 
+    With ``decoded``, a column of that name holds what ``decode`` makes of the ids, in the same task.
+
     Every match of ``pattern`` is encoded by itself, without special tokens, and what no match
     covers is left out, as in the library of that file format. Null and empty texts have
     no ids; null and repeated keys are separate rows; other columns are ignored. One text is part
@@ -151,6 +153,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
     """
     spark = documents.sparkSession
     table = spark.sparkContext.broadcast(ranks)
+    tokens = spark.sparkContext.broadcast(_token_table(ranks))
     source = only(documents, key, text)
     kind = source.schema["key"].dataType.simpleString()
     parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -195,7 +198,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
              .select("block", "numbers", "words").mapInArrow(encoded, "block bigint, numbers binary, counts binary, ids binary"))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, totals, packed = [], [], []
+        keys, totals, packed, texts = [], [], [], []
         for row in left.to_pylist():
             numbers, counts, ids = ([_unpack(v)[0] for v in right.column(c).to_pylist()] for c in ("numbers", "counts", "ids"))
             number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(n, dtype=np.int64) for n in numbers)]).astype(np.int64)
@@ -213,11 +216,22 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str
                 keys.append(name)
                 totals.append(total)
                 packed.append(flat[place].tobytes())
-        return pa.table([pa.array(keys, left.schema.field("keys").type.value_type), pa.array(totals, pa.int64()), pa.array(packed, pa.binary())],
-                        names=["key", "n_tokens", "ids"])
+                if decoded:
+                    texts.append(_bytes_of(packed[-1], tokens.value))
+        pa.default_memory_pool().release_unused()
+        columns = [pa.array(keys, left.schema.field("keys").type.value_type), pa.array(totals, pa.int64()), pa.array(packed, pa.binary())]
+        return pa.table([*columns, *([pa.array(texts, pa.binary())] if decoded else [])], names=["key", "n_tokens", "ids", *([decoded] if decoded else [])])
 
     return (blocks.select("block", "keys", "lengths", "positions").groupBy("block").cogroup(words.groupBy("block"))
-            .applyInArrow(assemble, f"key {kind}, n_tokens bigint, ids binary").withColumnRenamed("key", key))
+            .applyInArrow(assemble, f"key {kind}, n_tokens bigint, ids binary" + (f", `{decoded}` binary" if decoded else "")).withColumnRenamed("key", key))
+
+
+def _token_table(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks.items()}
+
+
+def _bytes_of(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -226,14 +240,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name:
     The table is broadcast: it has a row per token of the vocabulary, whatever the data. An id
     without a token raises an error.
     """
-    table = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    table = encoded.sparkSession.sparkContext.broadcast(_token_table(ranks))
     schema = encoded.drop(name).withColumn(name, F.lit(b"")).schema
     columns = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token = table.value.__getitem__
-            texts = [None if i is None else b"".join(map(token, np.frombuffer(i, "<u4").tolist())) for i in batch.column(ids).to_pylist()]
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            texts = [None if i is None else _bytes_of(i, table.value) for i in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.binary())], [*columns, name])
 
     return encoded.select(*columns).mapInArrow(run, schema)

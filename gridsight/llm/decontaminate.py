@@ -20,7 +20,7 @@ from gridsight.llm.fmindex import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 1_000_000
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 
 FOUND = {"n_words": "bigint", "n_hit": "bigint", "items": "array<string>", "spans": "array<struct<first:bigint,last:bigint>>"}
 

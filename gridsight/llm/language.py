@@ -72,7 +72,7 @@ def _document_frequencies(rows: DataFrame, buckets: int) -> tuple[int, np.ndarra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(buckets, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for piece in pieces(batch, column=0) for t in piece.column(0).to_pylist()):
                 total[grams(text, buckets)[0]] += 1
                 rows += 1
         found = np.flatnonzero(total)
@@ -205,7 +205,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, idf, weights, temperature = shared.value
-        for batch in batches:
+        for batch in (piece for b in batches for piece in pieces(b, column=columns.index(text))):
             names, scores = [], []
             for value in batch.column(text).to_pylist():
                 found, counts = grams(value, len(idf))

@@ -197,7 +197,7 @@ def predict(documents: DataFrame, model: AdditiveModel, text: str = "text", cut:
     place = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for b in batches for piece in pieces(b, column=place)):
             scores = score(shared.value, features(batch, place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= cut).astype(np.int32))],
                                              [*columns, "score", "predicted"])
