@@ -264,7 +264,7 @@ def test_catalog(spark):
     assert catalog.table_fingerprint(df).first() != catalog.table_fingerprint(df.unionByName(df)).first()
 
 
-def labelled(spark, n=600):
+def classed(spark, n=600):
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=n), rng.normal(size=n)
     c = np.where(a > 0.5, "high", np.where(np.arange(n) % 10 == 0, "rare", "low"))
@@ -272,13 +272,13 @@ def labelled(spark, n=600):
 
 
 def test_permutation_does_not_depend_on_partitions(spark):
-    df = labelled(spark)
+    df = classed(spark)
     got = [importance.permutation_importance(df.repartition(p), "y", ["a", "b"], ["id"], repeats=3, trees=10, depth=5).collect() for p in (1, 16)]
     assert got[0] == got[1] and got[0][0]["feature"] == "a" and got[0][0]["importance"] > 10 * abs(got[0][1]["importance"])
 
 
 def test_stratified_folds_and_all_rows_classified(spark):
-    fitted = learn.fit_classifier(labelled(spark), "c", ["a", "b", "w"], ["id"], "rf", trees=10, depth=4)
+    fitted = learn.fit_classifier(classed(spark), "c", ["a", "b", "w"], ["id"], "rf", trees=10, depth=4)
     folds = {(r["target"], r["fold"]): r["count"] for r in fitted.rows.groupBy("target", "fold").count().collect()}
     for name in ("high", "low", "rare"):
         sizes = [folds.get((name, f), 0) for f in range(5)]
@@ -288,7 +288,7 @@ def test_stratified_folds_and_all_rows_classified(spark):
 
 
 def test_class_attribution(spark):
-    df = labelled(spark)
+    df = classed(spark)
     rows = importance.class_attribution(df, "c", ["a", "b", "w"], ["id"], trees=20)
     got = {r["feature"]: r for r in rows.collect()}
     assert {r["class"] for r in got.values()} == {"low"}
