@@ -266,9 +266,34 @@ def slots(node: Node, path: tuple[str, ...] = (), repeated: bool = False) -> lis
 
 
 def match(page: Node, wrapper: Node) -> dict[int, int]:
-    """For each text slot of a page's expression the slot of the wrapper that it fills; none if it fills no one."""
-    found = {page.number: wrapper.number} if page.key == "#" else {}
-    for a, b in align(flat(page.kids), flat(wrapper.kids)):
-        if a is not None and b is not None:
-            found.update(match(a, b))
+    """For each text slot of a page's expression the slot of the wrapper that it fills; none if it fills no one.
+
+    Children are paired in order so that the most slots are filled. A group's children are met as often
+    as the page needs, so a run that begins or ends amid a repetition is covered as well.
+    """
+    if page.key == "#":
+        return {page.number: wrapper.number}
+    kids, items = flat(page.kids), wrapper.kids
+    n, m = len(kids), len(items)
+    by_key: list[dict[str, list[Node]]] = [{} for _ in items]
+    for ways, item in zip(by_key, items):
+        for kid in flat([item]):
+            ways.setdefault(kid.key, []).append(kid)
+    # What a child fills in an item; where the next child may begin: a group is not left by one match.
+    fits = [[max((match(kid, b) for b in ways[kid.key]), key=len) if kid.key in ways else None for ways in by_key] for kid in kids]
+    after = [j + (item.key != "()") for j, item in enumerate(items)]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], -1 if fits[i][j] is None else best[i + 1][after[j]] + len(fits[i][j]))
+    found: dict[int, int] = {}
+    i = j = 0
+    while i < n and j < m:
+        if fits[i][j] is not None and best[i][j] == best[i + 1][after[j]] + len(fits[i][j]):
+            found.update(fits[i][j])
+            i, j = i + 1, after[j]
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
     return found
