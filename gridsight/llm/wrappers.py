@@ -5,8 +5,8 @@
 2. The distinct signatures of a host are aligned one after another; what only some have becomes
    optional, what repeats becomes a repeated group, texts become slots. Pages with equal signatures
    are met once, and signatures are first aligned in SPLITS parts, so a hot host is no hot task.
-3. Counts over all pages tell slots that hold data from those that hold the host's fixed wording, and
-   where the bulk of the text is. The slots of the article are kept and give each page its text.
+3. Counts over all pages tell where the bulk of the text is. Each signature has its own choice of article slots,
+   by its own elements and these counts, so a host may have several templates.
 """
 
 from __future__ import annotations
@@ -59,32 +59,30 @@ def names_article(key: str) -> bool:
     return tag in ("article", "main") or tag not in ("html", "body", "page") and any(_ARTICLE_WORDS.search(w) for w in words)
 
 
-def article_slots(wrapper: markup.Node, stats: dict[int, tuple[int, bool, int, int]]) -> set[int]:
-    """The slots of a wrapper that hold the article. ``stats``: pages, whether all texts are equal, characters, characters in links.
+def article_slots(page: markup.Node, plain: dict[int, float], fixed: set[int]) -> set[int]:
+    """The slots of a page's expression that hold the article. ``plain``: characters outside of links by slot; ``fixed``: slots of fixed wording.
 
-    If elements name the article, it is what lies in the outermost of them that hold text; else the smallest
-    element that holds the bulk of the text outside of links. Fixed wording and what is outside is left out.
+    If elements of the page name the article, it is what lies in those of them that hold text; else the smallest
+    element that holds the bulk of the text outside of links. What is outside is left out.
     """
-    found = markup.slots(wrapper)
-    paths, once = [(n, p) for n, p, _ in found if not outside(p)], {n for n, _, repeated in found if not repeated}
-    plain = {n: stats.get(n, (0, False, 0, 0))[2] - stats.get(n, (0, False, 0, 0))[3] for n, _ in paths}
-    named = [n for n, p in paths if any(names_article(k) for k in p)]
-    if any(plain[n] for n in named):
-        chosen = set(named)
+    paths = [(n, p) for n, p, _ in markup.slots(page) if not outside(p)]
+    named = {n for n, p in paths if any(names_article(k) for k in p)}
+    if any(plain.get(n) for n in named):
+        chosen = named
     else:
         chosen, depth = {n for n, _ in paths}, 1
-        total = sum(plain.values())
+        total = sum(plain.get(n, 0) for n in chosen)
         while total:
             below: dict[tuple, set[int]] = {}
             for n, p in paths:
                 if n in chosen and len(p) > depth:
                     below.setdefault(p[:depth + 1], set()).add(n)
-            best = max(below.values(), key=lambda s: sum(plain[n] for n in s), default=set())
-            if not best or sum(plain[n] for n in best) < BULK * total or any(k.split(".")[0] in ("p", "ul", "ol", "table", "h1", "blockquote")
-                                                                             for n, p in paths if n in best for k in p[depth:depth + 1]):
+            best = max(below.values(), key=lambda s: sum(plain.get(n, 0) for n in s), default=set())
+            if not best or sum(plain.get(n, 0) for n in best) < BULK * total or any(k.split(".")[0] in ("p", "ul", "ol", "table", "h1", "blockquote")
+                                                                                    for n, p in paths if n in best for k in p[depth:depth + 1]):
                 break
             chosen, depth = best, depth + 1
-    return {n for n in chosen if not (n in once and stats.get(n, (0, False))[0] >= FIXED_PAGES and stats[n][1])}
+    return chosen - fixed
 
 
 def parsed_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -135,48 +133,57 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     share the wrapper of the empty host. Null and repeated keys are separate rows; other columns are ignored.
     """
     parsed = parsed_pages(pages, key, url, html)
-    shapes = saved(parsed.groupBy("host", "shape").agg(F.first("signature").alias("signature")))
+    shapes = saved(parsed.groupBy("host", "shape").agg(F.first("signature").alias("signature"), F.count("*").alias("pages")))
     wrappers = saved(infer(shapes))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for signature, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                page = markup.read(signature)
-                found = markup.match(page, markup.read(wrapper))
+            for signature, text in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                page, wrapper = markup.read(signature), markup.read(text)
+                found = markup.match(page, wrapper)
+                once = {n for n, _, repeated in markup.slots(wrapper) if not repeated}
                 paths = {n: p for n, p, _ in markup.slots(page)}
-                rows.append(([found.get(n, -1) for n in range(len(paths))], [paths[n] for n in range(len(paths))]))
+                fills = [found.get(n, -1) for n in range(len(paths))]
+                rows.append((fills, [any(k.split(".")[0] == "a" for k in paths[n]) for n in range(len(paths))], [f in once for f in fills]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                 pa.array([[any(k.split(".")[0] == "a" for k in p) for p in r[1]] for r in rows], pa.list_(pa.bool_())),
-                 pa.array([[not outside(p) and any(names_article(k) for k in p) for p in r[1]] for r in rows], pa.list_(pa.bool_()))],
-                ["host", "shape", "fills", "links", "named"])
+                [batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
+                 *[pa.array([r[i] for r in rows], pa.list_(pa.bool_())) for i in (1, 2)]],
+                ["host", "shape", "signature", "pages", "fills", "links", "once"])
 
-    fitted = saved(shapes.join(wrappers, "host").select("host", "shape", "signature", "wrapper").mapInArrow(
-        fit, "host string, shape bigint, fills array<int>, links array<boolean>, named array<boolean>"))
+    fitted = saved(shapes.join(wrappers, "host").select("host", "shape", "signature", "pages", "wrapper").mapInArrow(
+        fit, "host string, shape bigint, signature string, pages bigint, fills array<int>, links array<boolean>, once array<boolean>"))
 
     # One row per page and slot: its text as a hash, its length.
     filled = parsed.select("host", "shape", F.posexplode("texts").alias("at", "text"), "slots").select(
         "host", "shape", F.element_at("slots", F.col("at") + 1).alias("slot"), F.xxhash64("text").alias("hash"), F.char_length(F.trim("text")).alias("chars"))
     by_shape = saved(filled.filter("chars > 0").groupBy("host", "shape", "slot").agg(
         F.count("*").alias("texts"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.sum("chars").alias("chars")))
-    counted = by_shape.join(fitted, ["host", "shape"]).select(
-        "host", F.element_at("fills", F.col("slot") + 1).alias("slot"), "texts", "low", "high", "chars",
-        F.when(F.element_at("links", F.col("slot") + 1), F.col("chars")).otherwise(0).alias("linked")).filter("slot >= 0")
-    stats = counted.groupBy("host", "slot").agg(F.sum("texts").alias("texts"), (F.min("low") == F.max("high")).alias("fixed"),
-                                                F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-
-    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = []
-        if left.num_rows:
-            seen = {r["slot"]: (r["texts"], r["fixed"], r["chars"], r["linked"]) for r in right.to_pylist()}
-            kept = [sorted(article_slots(markup.read(left.column("wrapper")[0].as_py()), seen))]
-        return pa.table([left.column("host").slice(0, len(kept)), pa.array(kept, pa.list_(pa.int32()))], names=["host", "article"])
-
-    articles = wrappers.groupBy("host").cogroup(stats.groupBy("host")).applyInArrow(choose, "host string, article array<int>")
-    # A slot that fills none of the wrapper's is judged by its own path.
-    keep = saved(fitted.join(articles, "host").select("host", "shape", F.transform(
-        F.arrays_zip("fills", "named"), lambda s: F.when(s["fills"] < 0, s["named"]).otherwise(F.array_contains("article", s["fills"]))).alias("keep")))
+    at = F.col("slot") + 1
+    counted = by_shape.join(fitted.drop("signature"), ["host", "shape"]).select(
+        "host", "shape", "pages", "slot", F.element_at("fills", at).alias("fills"), F.element_at("once", at).alias("once"), "texts", "low", "high",
+        F.when(F.element_at("links", at), 0).otherwise(F.col("chars")).alias("plain"))
+    # A slot of the wrapper: what a page that has it holds there, and whether it holds one text only.
+    stats = saved(counted.filter("fills >= 0").groupBy("host", "fills").agg(
+        (F.sum("plain") / F.sum("pages")).alias("plain"),
+        (F.bool_or("once") & (F.min("low") == F.max("high")) & (F.sum("texts") >= FIXED_PAGES)).alias("fixed")))
+    by_host = stats.groupBy("host").agg(F.collect_list(F.struct("fills", "plain", "fixed")).alias("stats"))
+    own = counted.groupBy("host", "shape").agg(F.collect_list(F.struct("slot", (F.col("plain") / F.col("pages")).alias("plain"))).alias("own"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for host, signature, fills, own, stats in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                seen = {s["fills"]: s for s in stats or []}
+                plain = {s["slot"]: s["plain"] for s in own or []}
+                if host:  # pages without host are no evidence for each other
+                    plain |= {n: seen[f]["plain"] for n, f in enumerate(fills) if n in plain and f in seen}
+                article = article_slots(markup.read(signature), plain, {n for n, f in enumerate(fills) if f in seen and seen[f]["fixed"]})
+                kept.append([n in article for n in range(len(fills))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.bool_()))], ["host", "shape", "keep"])
+
+    keep = saved(fitted.join(own, ["host", "shape"], "left").join(by_host, "host", "left").select("host", "shape", "signature", "fills", "own", "stats")
+                 .mapInArrow(choose, "host string, shape bigint, keep array<boolean>"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 import random
 
-from gridsight.llm import markup
+from gridsight.llm import markup, wrappers
 
 
 def wrapper_of(signatures):
@@ -28,3 +28,22 @@ def test_wrapper_covers_its_pages():
 
     for _ in range(40):
         assert uncovered([page() for _ in range(dice.randint(2, 12))]) == []
+
+
+def texts_of(spark, pages):
+    """Texts of (url, html) pages, in their order."""
+    found = wrappers.extract(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string"))
+    return [r["text"] for r in found.orderBy("page_id").collect()]
+
+
+def test_each_template_of_a_host_has_its_article(spark):
+    prose = "Long words of a text that goes on and on. " * 5
+    post = [f"<body><nav><a>n{i}</a></nav><article><h1>Post {i}</h1><p>{prose}{i}</p></article></body>" for i in range(30)]
+    static = [f"<body><nav><a>n{i}</a></nav><div class=intro>About {i}</div><div class=text><p>{prose}s{i}</p></div></body>" for i in range(3)]
+    # No element names the article, and the second template holds a small share of the host's text.
+    plain = [f"<body><div class=one><p>{prose}{i}</p></div></body>" for i in range(30)] + [f"<body><div class=two><p>{prose}t{i}</p></div></body>" for i in range(3)]
+    for url in ("https://a.example/", None):
+        found = texts_of(spark, [(url, p) for p in post + static])
+        assert found[:30] == [f"Post {i}\n{prose}{i}" for i in range(30)]
+        assert all(f"{prose}s{i}" in found[30 + i] and f"n{i}" not in found[30 + i] for i in range(3))
+        assert texts_of(spark, [(url, p) for p in plain]) == [f"{prose}{i}" for i in range(30)] + [f"{prose}t{i}" for i in range(3)]
