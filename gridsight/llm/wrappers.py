@@ -11,18 +11,21 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridsight.functions.scale import saved
 from gridsight.llm import markup
 from gridsight.llm.batches import pieces
 
 SPLITS = 8
-#: A slot that is not repeated and holds the same text on at least so many pages, all there are with it, is fixed wording.
+#: A slot outside of named articles that is not repeated and holds the same text on all its pages, with at least so many
+#: different texts around it, is fixed wording. Copies of a page count once.
 FIXED_PAGES = 20
 #: Share of a host's text that one child must hold to be looked into, where no element names the article.
 BULK = 0.7
@@ -39,6 +42,7 @@ _ABOUT = re.compile(r"^(?:has|with|no|not|without|is)[-_]")
 _ARTICLE_WORDS = re.compile(r"(?:^|[-_])(?:article|articlebody|main)(?:$|[-_])|^(?:post|entry|story|page)[-_](?:content|body|text)$|^content$")
 
 
+@functools.lru_cache(100_000)
 def outside(path: tuple[str, ...]) -> bool:
     """Whether a path leads into a menu, header, footer, advert or the like. An article's own header belongs to it."""
     within = False
@@ -63,30 +67,32 @@ def article_slots(page: markup.Node, plain: dict[int, float], fixed: set[int]) -
     """The slots of a page's expression that hold the article. ``plain``: characters outside of links by slot; ``fixed``: slots of fixed wording.
 
     If elements of the page name the article, it is what lies in those of them that hold text; else the smallest
-    element that holds the bulk of the text outside of links. What is outside is left out.
+    element that holds the bulk of the text outside of links, less its fixed wording. What is outside is left out.
     """
     paths = [(n, p) for n, p, _ in markup.slots(page) if not outside(p)]
     named = {n for n, p in paths if any(names_article(k) for k in p)}
     if any(plain.get(n) for n in named):
-        chosen = named
-    else:
-        chosen, depth = {n for n, _ in paths}, 1
-        total = sum(plain.get(n, 0) for n in chosen)
-        while total:
-            below: dict[tuple, set[int]] = {}
-            for n, p in paths:
-                if n in chosen and len(p) > depth:
-                    below.setdefault(p[:depth + 1], set()).add(n)
-            best = max(below.values(), key=lambda s: sum(plain.get(n, 0) for n in s), default=set())
-            if not best or sum(plain.get(n, 0) for n in best) < BULK * total or any(k.split(".")[0] in ("p", "ul", "ol", "table", "h1", "blockquote")
-                                                                                    for n, p in paths if n in best for k in p[depth:depth + 1]):
-                break
-            chosen, depth = best, depth + 1
+        return named
+    chosen, depth = {n for n, _ in paths}, 1
+    total = sum(plain.get(n, 0) for n in chosen)
+    while total:
+        below: dict[tuple, set[int]] = {}
+        for n, p in paths:
+            if n in chosen and len(p) > depth:
+                below.setdefault(p[:depth + 1], set()).add(n)
+        best = max(below.values(), key=lambda s: sum(plain.get(n, 0) for n in s), default=set())
+        if not best or sum(plain.get(n, 0) for n in best) < BULK * total or any(k.split(".")[0] in ("p", "ul", "ol", "table", "h1", "blockquote")
+                                                                                for n, p in paths if n in best for k in p[depth:depth + 1]):
+            break
+        chosen, depth = best, depth + 1
     return chosen - fixed
 
 
 def parsed_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Key, url, host, signature and its hash, and the texts of each page with their slots and blocks."""
+    """Key, url, host, signature and its hash, and the texts of each page with their slots and blocks.
+
+    ``payload`` is a hash of the texts that are not outside of the article by their path.
+    """
     source = pages.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
                           F.col(f"`{url}`").cast("string").alias("url"))
     kind = source.schema["key"].dataType.simpleString()
@@ -94,20 +100,23 @@ def parsed_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                signatures, numbers, blocks, texts = [], [], [], []
+                signatures, numbers, blocks, texts, payloads = [], [], [], [], []
                 for page in piece.column(1).to_pylist():
                     root, found = markup.parse(page)
                     signatures.append(markup.write(markup.fold(root)))
                     numbers.append([s.final().number for s, _, _ in found])
                     blocks.append([b for _, b, _ in found])
-                    texts.append([t for _, _, t in found])
+                    texts.append([t.encode("utf-8", "replace").decode() for _, _, t in found])
+                    inside = {n for n, p, _ in markup.slots(root) if not outside(p)}
+                    words = " ".join("".join(t if n in inside else " " for n, t in zip(numbers[-1], texts[-1])).split())
+                    payloads.append(xxhash.xxh64_intdigest(words) - (1 << 63))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(2), pa.array(signatures, pa.string()), pa.array(numbers, pa.list_(pa.int32())),
-                     pa.array(blocks, pa.list_(pa.int32())), pa.array([[t.encode("utf-8", "replace").decode() for t in ts] for ts in texts], pa.list_(pa.string()))],
-                    ["key", "url", "signature", "slots", "blocks", "texts"])
+                     pa.array(blocks, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(payloads, pa.int64())],
+                    ["key", "url", "signature", "slots", "blocks", "texts", "payload"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    return saved(source.mapInArrow(run, f"key {kind}, url string, signature string, slots array<int>, blocks array<int>, texts array<string>")
+    return saved(source.mapInArrow(run, f"key {kind}, url string, signature string, slots array<int>, blocks array<int>, texts array<string>, payload bigint")
                  .withColumn("host", host).withColumn("shape", F.xxhash64("signature")))
 
 
@@ -163,11 +172,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     counted = by_shape.join(fitted.drop("signature"), ["host", "shape"]).select(
         "host", "shape", "pages", "slot", F.element_at("fills", at).alias("fills"), F.element_at("once", at).alias("once"), "texts", "low", "high",
         F.when(F.element_at("links", at), 0).otherwise(F.col("chars")).alias("plain"))
-    # A slot of the wrapper: what a page that has it holds there, and whether it holds one text only.
+    # A slot of the wrapper: what a page that has it holds there, and whether it always holds the same text.
     stats = saved(counted.filter("fills >= 0").groupBy("host", "fills").agg(
         (F.sum("plain") / F.sum("pages")).alias("plain"),
-        (F.bool_or("once") & (F.min("low") == F.max("high")) & (F.sum("texts") >= FIXED_PAGES)).alias("fixed")))
-    by_host = stats.groupBy("host").agg(F.collect_list(F.struct("fills", "plain", "fixed")).alias("stats"))
+        (F.bool_or("once") & (F.min("low") == F.max("high")) & (F.sum("texts") >= FIXED_PAGES)).alias("same")))
+    # The different pages around such a slot; of those of one signature FIXED_PAGES are enough.
+    few = W.partitionBy("host", "shape").orderBy("payload")
+    payloads = parsed.select("host", "shape", "payload").distinct().withColumn("_row", F.row_number().over(few)).filter(F.col("_row") <= FIXED_PAGES).drop("_row")
+    around = (counted.filter(F.col("once") & (F.col("low") == F.col("high"))).join(stats.filter("same"), ["host", "fills"], "left_semi")
+              .select("host", "shape", "fills").join(payloads, ["host", "shape"]).groupBy("host", "fills").agg(F.countDistinct("payload").alias("different")))
+    fixed = around.filter(F.col("different") >= FIXED_PAGES).select("host", "fills", F.lit(True).alias("fixed"))
+    by_host = stats.join(fixed, ["host", "fills"], "left").groupBy("host").agg(F.collect_list(F.struct("fills", "plain", "fixed")).alias("stats"))
     own = counted.groupBy("host", "shape").agg(F.collect_list(F.struct("slot", (F.col("plain") / F.col("pages")).alias("plain"))).alias("own"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

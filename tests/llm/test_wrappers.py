@@ -47,3 +47,17 @@ def test_each_template_of_a_host_has_its_article(spark):
         assert found[:30] == [f"Post {i}\n{prose}{i}" for i in range(30)]
         assert all(f"{prose}s{i}" in found[30 + i] and f"n{i}" not in found[30 + i] for i in range(3))
         assert texts_of(spark, [(url, p) for p in plain]) == [f"{prose}{i}" for i in range(30)] + [f"{prose}t{i}" for i in range(3)]
+
+
+def test_copies_and_named_articles_have_no_fixed_wording(spark):
+    url, prose = "https://a.example/", "Long words of a text that goes on and on. " * 5
+    # Copies under different menus, of one element each, next to other pages.
+    copies = [f"<body><nav><a>n{i}</a></nav><div class=text><h2>Only here</h2><blockquote>Said once</blockquote><p>{prose}</p></div></body>" for i in range(25)]
+    others = [f"<body><nav><a>m{i}</a></nav><div class=text><h2>Head {i}</h2><p>{prose}{i}</p></div></body>" for i in range(5)]
+    found = texts_of(spark, [(url, p) for p in copies + others])
+    assert found == [f"Only here\nSaid once\n{prose.strip()}"] * 25 + [f"Head {i}\n{prose}{i}" for i in range(5)]
+    # A constant heading within a named article stays, and wording around different texts goes elsewhere.
+    named = [f"<body><article><h2>Summary</h2><p>{prose}{i}</p></article></body>" for i in range(25)]
+    assert texts_of(spark, [(url, p) for p in named]) == [f"Summary\n{prose}{i}" for i in range(25)]
+    bulk = [f"<body><div class=text><h2>Head {i}</h2><h5>Printed on fine paper</h5><p>{prose}{i}</p></div></body>" for i in range(25)]
+    assert texts_of(spark, [(url, p) for p in bulk]) == [f"Head {i}\n{prose}{i}" for i in range(25)]
