@@ -29,12 +29,14 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates.
 
-    Of rows that repeat a doc_id the first by text stays; rows without doc_id stay.
+    Of a group's rows with that doc_id the first by text stays. A doc_id that is repeated over unrelated texts
+    stays once in each of their groups. Rows without doc_id stay.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.filter("component_id = doc_id").select("doc_id").distinct()
-    order = W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    rows = saved(simhash.with_fingerprints(docs))
+    prints = rows.select("doc_id", "bits")
+    first = saved(prints.join(simhash.groups(prints), "bits").filter("doc_id = component_id").select("doc_id", "bits", "root").distinct())
+    order = W.partitionBy("doc_id", "root").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    kept = rows.join(first, ["doc_id", "bits"]).withColumn("_row", F.row_number().over(order)).filter("_row = 1")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

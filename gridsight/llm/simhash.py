@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridsight.functions.scale import saved
 from gridsight.llm.batches import map_arrow, only
@@ -146,6 +147,29 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return homes.join(copies, "anchor").filter((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
+def with_fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """All columns of each document and ``bits``, its fingerprint."""
+    place = documents.columns.index(text)
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.array([fingerprint(t or "", shingle) for t in batch.column(place).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))], [*batch.schema.names, "bits"])
+
+    return map_arrow(documents, prints, StructType([*documents.schema.fields, StructField("bits", LongType())]), column=place)
+
+
+def groups(prints: DataFrame, key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+    """``(bits, component_id, root)`` per distinct fingerprint of the keyed rows ``(key, bits)``.
+
+    ``root`` tells the groups apart; ``component_id``, a group's smallest key, may be shared where keys are repeated.
+    """
+    nodes = saved(prints.filter(F.col(key).isNotNull()).groupBy("bits").agg(F.min(key).alias("first")))
+    roots = components(links(nodes, threshold)).select(F.col("node").alias("bits"), "component")
+    rooted = saved(nodes.join(roots, "bits", "left").select("bits", "first", F.coalesce("component", "bits").alias("root")))
+    least = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    return saved(rooted.join(least, "root").select("bits", "component_id", "root"))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     threshold: int = THRESHOLD) -> DataFrame:
     """``(key, bits, component_id)`` per document: the smallest key reachable over linked fingerprints.
@@ -156,10 +180,6 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     texts are separate rows; a text without words has fingerprint 0, linked as any other.
     """
     prints = saved(fingerprints(documents, key, text, shingle))
-    nodes = saved(prints.filter(F.col(key).isNotNull()).groupBy("bits").agg(F.min(key).alias("first")))
-    roots = components(links(nodes, threshold)).select(F.col("node").alias("bits"), "component")
-    rooted = saved(nodes.join(roots, "bits", "left").select("bits", "first", F.coalesce("component", "bits").alias("root")))
-    least = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = saved(rooted.join(least, "root").select("bits", "component_id"))
+    classes = groups(prints, key, threshold)
     return prints.join(classes, "bits", "left").select(
         key, "bits", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))

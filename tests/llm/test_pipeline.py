@@ -39,3 +39,10 @@ def test_empty_and_odd_documents(spark):
     assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.one_of_each_group(spark, odd, "").collect()) == [0, 1, 2]
     assert corpus_pipeline.one_of_each_group(spark, odd.limit(0), "").count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.keep_language(spark, odd, "").collect()} <= {None, 2}
+
+
+def test_repeated_doc_id_of_unrelated_texts(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one), (1, two), (2, two), (3, three), (3, one), (3, three)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [(1, one), (1, two), (3, three)]
