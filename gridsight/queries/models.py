@@ -18,6 +18,9 @@ POINTS = "SELECT vec_id, label, CAST(embedding[{0}] AS DOUBLE) AS e0, CAST(embed
 # Arrays count from 0 on Spark and from 1 in the other engine.
 POINTS_SPARK, POINTS_SQL = POINTS.format(0, 1, 2), POINTS.format(1, 2, 3)
 DIMS = ["e0", "e1", "e2"]
+# All dimensions.
+WIDE_DIMS = [f"e{i}" for i in range(64)]
+WIDE_POINTS = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(64)) + " FROM {embeddings}"
 
 
 def _points(spark, folder):
@@ -77,7 +80,7 @@ def cluster_ward(spark, folder):
 
 @query("cluster_ward_merges")
 def cluster_ward_merges(spark, folder):
-    return cluster.ward(_points(spark, folder), DIMS, ["vec_id"])[1]
+    return cluster.ward(prepared(spark, folder, WIDE_POINTS), WIDE_DIMS, ["vec_id"])[1]
 
 
 @query("anomaly_iforest_score")

@@ -315,3 +315,11 @@ def test_quoted_line_breaks_in_csv(spark, tmp_path):
     from gridsight.sources import tables
     (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,NA\n')
     assert sorted(map(tuple, tables.read_text_columns(spark, str(tmp_path)).collect())) == [("1", "two\nlines"), ("2", None)]
+
+
+def test_ward_merges_use_all_dimensions(spark, folder, monkeypatch):
+    from gridsight.queries import models
+
+    monkeypatch.setattr(models.cluster, "ward", lambda df, features, keep: (None, (features, df)))
+    features, df = models.cluster_ward_merges(spark, folder)
+    assert len(features) == len(spark.read.parquet(f"{folder}/embeddings.parquet").first()["embedding"]) and set(features) < set(df.columns)
