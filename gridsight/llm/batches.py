@@ -60,16 +60,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of texts whose A-Z are lower-cased.
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of texts whose A-Z are lower-cased, or runs of other bytes that are ``inside``.
 
     Characters beyond ASCII are word characters, and so are all bytes that encode
     them, which makes splitting the bytes the same as splitting the characters.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, inside: np.ndarray = ALNUM_BYTES):
         joined, offsets = text_bytes(column)
         self.low = LOWER_BYTES[joined]
-        self.inside = ALNUM_BYTES[self.low]
+        self.inside = inside[self.low]
         before = np.zeros(len(joined), bool)
         before[1:] = self.inside[:-1]
         before[offsets[:-1][offsets[:-1] < len(joined)]] = False
@@ -108,6 +108,17 @@ class Words:
 _MIX = np.random.default_rng(20).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many ranges, overlapping or not, one after another, and the n + 1 places where they begin and end."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts, dtype=np.int64)])
+    return data[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])], offsets
+
+
+def texts(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.large_string()) -> pa.Array:
+    """A text column over bytes and the places where its texts begin and end."""
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def lists(values, lengths, kind: pa.DataType) -> pa.ListArray:
     """A list column from its flat values and the length of each list."""
     offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)

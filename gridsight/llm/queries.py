@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridsight.functions.scale import saved
-from gridsight.llm import bpe, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
+from gridsight.llm import bpe, collocations, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -177,3 +177,28 @@ def fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query("op11_phrase_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT id, lang, unnest(w) AS x, unnest(range(len(w))) AS i FROM words),
+runs AS (SELECT lang, x, lead(x) OVER ahead AS y, lead(x, 2) OVER ahead AS z FROM places WINDOW ahead AS (PARTITION BY id ORDER BY i)),
+phrases AS (SELECT lang, 1 AS k, x AS phrase FROM runs UNION ALL SELECT lang, 2, x || ' ' || y FROM runs WHERE y IS NOT NULL
+            UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM runs WHERE z IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY lang, k, phrase),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.f AS a, l.f AS l, r.f AS r, cut, CAST((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+         FROM candidates c JOIN (VALUES (1), (2)) AS t(cut) ON cut < c.k
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, part, max(f) AS f FROM (SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE k = 3) x
+           GROUP BY lang, part),
+kept AS (SELECT s.* FROM scored s LEFT JOIN longer ON s.lang = longer.lang AND s.phrase = part WHERE part IS NULL OR 100 * longer.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""")
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(table(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
