@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridsight.functions.scale import saved
-from gridsight.llm import bpe, collocations, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
+from gridsight.llm import bpe, codes, collocations, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -202,3 +202,30 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang)
 def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     found = collocations.collocations(table(spark, folder, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def _codebook_sql(rounds: int = 6) -> str:
+    """Each round of the codebooks as two tables: the parts' nearest entries, and the entries' means."""
+    distance = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for number in range(rounds + 1):
+        steps.append(f"""near{number} AS MATERIALIZED (SELECT p.id, p.part, p.v, b.entry, {distance} AS d FROM parts p JOIN book{number} b USING (part)
+  QUALIFY row_number() OVER (PARTITION BY p.id, p.part ORDER BY {distance}, b.entry) = 1)""")
+        if number < rounds:
+            steps.append(f"""mean{number} AS (SELECT part, entry, list(m ORDER BY place) AS v FROM (SELECT part, entry, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m
+  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(8)) AS place FROM near{number}) GROUP BY part, entry, place) GROUP BY part, entry),
+book{number + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{number} b LEFT JOIN mean{number} m USING (part, entry))""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 4096) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT id, part, v[8 * part + 1:8 * part + 8] AS v FROM kept, range(8) AS t(part)),
+book0 AS MATERIALIZED (SELECT part, id - 1 AS entry, v FROM parts WHERE id <= 16),
+{", ".join(steps)},
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM book{rounds}),
+coded AS (SELECT id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (id), digest"""
+
+
+@_query("op12_vector_codes", _codebook_sql())
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
