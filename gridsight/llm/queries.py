@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridsight.functions.scale import saved
-from gridsight.llm import bpe, codes, collocations, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
+from gridsight.llm import bpe, codes, collocations, decision_lists, decontaminate, language, licenses, merkle, quality, rollups, simhash, warc, wrappers
 from gridsight.queries.registry import table
 
 QUERIES = {}
@@ -229,3 +229,9 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 @_query("op12_vector_codes", _codebook_sql())
 def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.compress(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@_query("op13_decision_rules")
+def decision_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = decision_lists.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
