@@ -199,7 +199,7 @@ def full_buckets(dictionary: DataFrame, tables: list[np.ndarray], least: int) ->
 
     packed = dictionary.mapInArrow(_steps(pack), "group int, places binary, counts binary")
     bits = np.zeros((1 << GROUP_BITS, (1 << low) // 8), np.uint8)
-    for row in packed.repartition("group").mapInArrow(add, "group int, bits binary").toLocalIterator():
+    for row in packed.repartition("group").mapInArrow(add, "group int, bits binary").collect():
         bits[row["group"]] = np.frombuffer(row["bits"], np.uint8)
     shared.destroy()
     return bits.reshape(-1)
@@ -252,7 +252,11 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", s
     """
     dictionary = saved(dictionary_of(documents, longest, text, lang))
     sizes = dictionary.groupBy("lang").agg(F.sum(F.col("words") * F.col("times")).alias("n"))
-    counts = saved(phrase_counts(dictionary, longest, least))
+    return ranked(saved(phrase_counts(dictionary, longest, least)), sizes, shortest, top, covered)
+
+
+def ranked(counts: DataFrame, sizes: DataFrame, shortest: int = 2, top: int = TOP, covered: int = COVERED) -> DataFrame:
+    """The result of ``collocations`` from ``lang, phrase, words, f`` of all frequent phrases and ``lang, n``."""
     candidates = counts.filter(F.col("words") >= shortest)
     # Both sides of each cut; they are at least as frequent as the phrase, so they are counted.
     cut = candidates.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("words") - 1))).withColumn("left", F.expr("substring_index(phrase, ' ', cut)"))
