@@ -43,8 +43,21 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_at(path: str) -> str:
+    """Have ``drop_saved`` remove a folder that is written by other means."""
+    if path not in _SAVED:
+        _SAVED.append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder in the file system of a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_saved(spark: SparkSession) -> int:
-    """Remove the tables that ``saved`` wrote so far; how many there were. Frames that read them end with it."""
+    """Remove the tables and fits that were saved so far; how many there were. Frames that read them end with it."""
     count = len(_SAVED)
     while _SAVED:
         path = spark._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
@@ -139,3 +152,20 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str, name
     # A key's own start is its smallest running sum less that row's weight.
     begins = overall.groupBy(*keys).agg(F.min(F.col(name) - F.col(weight)).alias("_begin"))
     return overall.join(broadcast_checked(begins), keys).withColumn(name, F.col(name) - F.col("_begin")).drop("_begin")
+
+
+#: A key with more than one in so many of the whole weight is hot; so there are fewer than this many hot keys.
+HOT_SHARE = 1000
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], weight: str, share: int = HOT_SHARE) -> DataFrame:
+    """Rows with the columns of the ``totals`` row of their keys, where a key may hold a large share of the rows.
+
+    ``totals`` has a row per key, and ``weight``, a column of it that is not negative and grows with the rows of a key. Hot keys are
+    broadcast, fewer than ``share`` of them by construction; the others meet in a shuffle, where none is large. Rows
+    whose keys are null or not in ``totals`` are left out.
+    """
+    whole = totals.agg(F.sum(F.col(weight).cast("decimal(38,0)"))).scalar()
+    heavy = F.col(weight).cast("decimal(38,0)") * share > whole
+    cold = rows.join(F.broadcast(totals.filter(heavy).select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(totals.filter(heavy)), keys).unionByName(cold.join(totals.filter(~heavy), keys))

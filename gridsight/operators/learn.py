@@ -1,24 +1,30 @@
-"""Supervised models on Spark ML: preparation, fits, metrics, importances, training."""
+"""Supervised models: preparation, fits, metrics, importances, training.
+
+Forests, logistic and linear models are Spark ML's; boosted trees are those of ``boosting``.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridsight.functions.parsing import as_text, kinds, missing, number
 from gridsight.functions.quantiles import medians
-from gridsight.functions.scale import row_numbers, saved, spread
+from gridsight.functions.scale import exists, kept_at, row_digest, row_numbers, saved, shared_folder, spread, with_totals
+from gridsight.operators import boosting, encoding
 
 MIN_CLASS_SIZE = 20
 TEST_SHARE = 5  # one row in five
-BINS = 64
-# A category of more levels has them hashed into so many.
-LEVELS = 254
+RATE, DEPTH, ROW_SHARE = 0.05, 5, 0.8
 
 
 @dataclass
@@ -27,7 +33,7 @@ class Prepared:
     rows: DataFrame
     columns: list[str]
     stages: list[Any]
-    bins: int
+    words: list[str]
 
 
 def fold_of(key: list[str], folds: int = TEST_SHARE, seed: int = 42) -> Column:
@@ -69,31 +75,21 @@ def prepare(df: DataFrame, features: list[str], key: list[str], target: Column,
         if gaps:
             values = {c: 0.0 for c in gaps} if fill == "zero" else medians(rows, gaps)
             rows = rows.fillna({c: (0.0 if v is None else v) for c, v in values.items()})
-    bins = BINS
-    if words and not one_hot:
-        # Trees split a category by its levels, so there must be a bin for each.
-        levels = rows.agg(*[F.count_distinct(f"w_{c}").alias(f"l_{i}") for i, c in enumerate(words)]).first()
-        wide = [c for i, c in enumerate(words) if levels[f"l_{i}"] > LEVELS]
-        rows = rows.withColumns({f"w_{c}": F.pmod(F.xxhash64(f"w_{c}"), F.lit(LEVELS)).cast("string") for c in wide})
-        bins = max(BINS, 2 + max(min(LEVELS, levels[f"l_{i}"]) for i in range(len(words))))
     stages: list[Any] = [StringIndexer(inputCol=f"w_{c}", outputCol=f"i_{c}", handleInvalid="keep") for c in words]
     inputs = [f"n_{c}" for c in numeric] + [f"i_{c}" for c in words]
     if one_hot and words:
         stages.append(OneHotEncoder(inputCols=[f"i_{c}" for c in words], outputCols=[f"o_{c}" for c in words], dropLast=False))
         inputs = [f"n_{c}" for c in numeric] + [f"o_{c}" for c in words]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Prepared(rows, numeric + words, stages, bins)
-
+    return Prepared(rows, numeric + words, stages, words)
 
-def merged_classes(df: DataFrame, target: str, smallest: int = MIN_CLASS_SIZE) -> Column:
-    """The target as text with classes of fewer than ``smallest`` rows merged into OTHER.
 
-    The classes that are not rare become a literal list: a class of at least ``smallest`` rows each.
-    """
-    text = F.when(~missing(df, target), as_text(df, target))
-    sizes = df.where(~missing(df, target)).groupBy(as_text(df, target).alias("c")).agg(F.count("*").alias("n"))
-    frequent = [r["c"] for r in sizes.where(F.col("n") >= smallest).select("c").collect()]
-    return F.when(text.isin(frequent) | text.isNull(), text).otherwise("OTHER")
+def with_classes(df: DataFrame, target: str, smallest: int = MIN_CLASS_SIZE) -> DataFrame:
+    """Rows that have a target, with ``_class``: the target as text, classes of fewer than ``smallest`` rows merged into OTHER."""
+    text = df.where(~missing(df, target)).withColumn("_text", as_text(df, target))
+    sizes = saved(text.groupBy("_text").agg(F.count("*").alias("_rows")))
+    return with_totals(text, sizes, ["_text"], "_rows").withColumn("_class", F.when(F.col("_rows") >= smallest, F.col("_text")).otherwise("OTHER")).drop(
+        "_text", "_rows")
 
 
 def _class_weights(rows: DataFrame) -> Column:
@@ -103,57 +99,148 @@ def _class_weights(rows: DataFrame) -> Column:
     return F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, total / (len(sizes) * n))])[F.col("target")]
 
 
+class BoostedModel:
+    """Boosted trees with the level tables that code the categories of new rows."""
+
+    def __init__(self, trees: boosting.Trees, coders: list[tuple[str, DataFrame, list[float], list[str]]], numeric: list[str]):
+        self.trees, self.coders, self.numeric = trees, coders, numeric
+
+    @property
+    def stages(self) -> list[Any]:
+        return [*self.coders, self.trees]
+
+    def feature_of(self) -> list[str]:
+        """The feature behind each column of the trees."""
+        coded = {name: word[2:] for word, _, _, names in self.coders for name in names}
+        return [coded.get(c, c[2:]) for c in self.trees.columns]
+
+    def coded(self, rows: DataFrame) -> DataFrame:
+        """Prepared rows with the columns of the trees; every row is coded as a new one."""
+        for word, levels, priors, names in self.coders:
+            rows = encoding.code_new(rows, word, levels, priors, names)
+        return rows
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return boosting.predict(self.coded(rows), self.trees, rows.columns)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        boosting.save(spark, self.trees, f"{path}/trees")
+        for i, (_, levels, _, _) in enumerate(self.coders):
+            levels.write.mode("overwrite").parquet(f"{path}/levels{i}")
+        facts = json.dumps([self.numeric, [[w, p, n] for w, _, p, n in self.coders]])
+        spark.createDataFrame([(facts,)], "facts string").write.mode("overwrite").parquet(f"{path}/boosted")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedModel:
+        numeric, coders = json.loads(spark.read.parquet(f"{path}/boosted").first()["facts"])
+        tables = [(w, spark.read.parquet(f"{path}/levels{i}"), p, n) for i, (w, p, n) in enumerate(coders)]
+        return BoostedModel(boosting.load(spark, f"{path}/trees"), tables, numeric)
+
+
 @dataclass
 class Fitted:
-    model: PipelineModel
+    model: PipelineModel | BoostedModel
     predictions: DataFrame
     columns: list[str]
     metrics: dict[str, float]
     rows: DataFrame | None = None
 
 
+def boosted(prepared: Prepared, key: list[str], named: bool, trees: int, depth: int, held: list[int], share: float, rate: float = RATE) -> list[Fitted]:
+    """Boosted trees for each held-out fold, grown side by side, with the predictions of that fold.
+
+    ``named``: the target is a class; all classes share one softmax and one aggregate a level. Categories become ordered
+    target statistics of every class (of one, where there are two), or of the number.
+    """
+    rows = prepared.rows
+    spark = rows.sparkSession
+    sizes = rows.groupBy("fold", *(["target"] if named else [])).agg(
+        F.count("*").alias("n"), *([] if named else [F.sum("target").alias("sum"), F.min("target").alias("low"), F.max("target").alias("high")])).collect()
+    weights = None
+    if named:
+        classes = sorted({r["target"] for r in sizes if any(r["fold"] != f for f in held)})
+        counts = np.array([[sum(r["n"] for r in sizes if r["fold"] != f and r["target"] == c) for c in classes] for f in held], float)
+        weights = counts.sum(axis=1, keepdims=True) / (len(classes) * np.maximum(counts, 1))
+        base, scale = np.zeros((len(held), len(classes))), boosting.UNIT / weights.max()
+        numbers = spark.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], "target string, _number double")
+        rows = rows.join(F.broadcast(numbers), "target")
+        shown = range(1, 2) if len(classes) == 2 else range(len(classes))
+        targets = {f"_t{i}": (F.col("_number") == i).cast("double") for i in shown}
+    else:
+        classes = []
+        sums = [[sum(r[c] for r in sizes if r["fold"] != f) for c in ("sum", "n")] for f in held]
+        base = np.array([[s / max(1, n)] for s, n in sums])
+        reach = max((abs(r[c] - b) for r in sizes for c in ("low", "high") for b in base[:, 0]), default=1.0)
+        scale = boosting.UNIT / max(reach, 1e-300)
+        rows, targets = rows.withColumn("_number", F.col("target").cast("double")), {"_t0": F.col("_number")}
+    numeric = [f"n_{c}" for c in prepared.columns if c not in prepared.words]
+    columns, layout, coders = list(numeric), [list(range(len(numeric))) for _ in held], []
+    rows = rows.withColumns(targets)
+    for word in prepared.words:
+        coded = encoding.encode(rows, f"w_{word}", key, list(targets), held, f"e_{word}")
+        rows = coded.rows
+        for m, names in enumerate(coded.codes):
+            layout[m] += range(len(columns), len(columns) + len(names))
+            columns += names
+        coders.append((f"w_{word}", coded.levels, coded.priors[0], coded.codes[0]))
+    order = F.struct(*[F.col(f"`{k}`") for k in key])
+    edges = boosting.cut_points(rows, columns, order)
+    parts = max(spark.sparkContext.defaultParallelism, sum(r["n"] for r in sizes) // boosting.PART_ROWS)
+    table = saved(boosting.packed(rows.withColumn("target", F.col("_number")).repartition(parts), columns, edges, order, base))
+    ensembles = boosting.boost(table, columns, edges, layout, held, classes, base, weights, scale, trees, rate, depth, share)
+    out = []
+    for fold, ensemble in zip(held, ensembles):
+        found = boosting.predict(rows.filter(F.col("fold") == fold), ensemble, [*key, "target"])
+        out.append(Fitted(BoostedModel(ensemble, coders, numeric), saved(found.select(*key, F.col("target").alias("actual"), "predicted")), prepared.columns, {},
+                          prepared.rows))
+    return out
+
+
 def fit_classifier(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
                    depth: int | None = None, holdout: int = 0, prepared: Prepared | None = None) -> Fitted:
     """Fit on four folds and predict the fifth.
 
-    ``gbt``: boosted trees, one against the rest for several classes, balanced weights.
+    ``gbt``: boosted trees, one softmax over all classes, balanced weights.
     ``rf``: random forest with one-hot categories. ``logistic``: standardised numbers.
     """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
 
-    least = {"gbt": 20, "rf": 30, "logistic": 20}[method]
-    if prepared is None:
-        if method == "logistic":
-            features = [c for c in features if kinds(df)[c] in ("number", "boolean")]
-        prepared = prepare(df, features, key, merged_classes(df, target), one_hot=method == "rf", fill="zero" if method == "gbt" else "median",
-                           stratified=True, drop_empty=method == "gbt")
+    prepared = prepared or prepared_classes(df, target, features, key, method)
     rows = prepared.rows
+    _enough(rows, {"gbt": 20, "rf": 30, "logistic": 20}[method], method)
+    if method == "gbt":
+        return boosted(prepared, key, True, trees, depth or DEPTH, [holdout], ROW_SHARE)[0]
     train, test = rows.where(F.col("fold") != holdout), rows.where(F.col("fold") == holdout)
-    if rows.limit(least).count() < least:
-        raise ValueError(f"{method} needs at least {least} labelled rows")
     labels = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(train)
-    common = {"featuresCol": "features", "labelCol": "label", "seed": 42}
     stages = list(prepared.stages)
-    if method == "gbt":
-        base = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=depth or 5, subsamplingRate=0.8, maxBins=prepared.bins, weightCol="weight", **common)
-        several = len(labels.labels) > 2
-        learner = OneVsRest(classifier=base, labelCol="label", featuresCol="features", weightCol="weight", parallelism=4) if several else base
-    elif method == "rf":
-        learner = RandomForestClassifier(numTrees=trees, maxDepth=depth or 10, **common)
+    if method == "rf":
+        learner = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth or 10, seed=42)
     else:
         stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
         learner = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=100, family="auto")
-    weighted = train.withColumn("weight", _class_weights(train)) if method == "gbt" else train
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
-    model = Pipeline(stages=[labels, *stages, learner, back]).fit(weighted)
-    scored = model.transform(test.withColumn("weight", F.lit(1.0))).select(*key, F.col("target").alias("actual"), "predicted")
+    model = Pipeline(stages=[labels, *stages, learner, back]).fit(train)
+    scored = model.transform(test).select(*key, F.col("target").alias("actual"), "predicted")
     return Fitted(model, scored, prepared.columns, {}, rows)
 
 
-def classify(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
+def prepared_classes(df: DataFrame, target: str, features: list[str], key: list[str], method: str) -> Prepared:
+    """Rows for a classifier: classes dealt evenly over the folds, and what each method does with missing values."""
+    if method == "logistic":
+        features = [c for c in features if kinds(df)[c] in ("number", "boolean")]
+    return prepare(with_classes(df, target), features, key, F.col("_class"), one_hot=method == "rf", fill="zero" if method == "gbt" else "median",
+                   stratified=True, drop_empty=method == "gbt")
+
+
+def _enough(rows: DataFrame, least: int, method: str) -> None:
+    if rows.limit(least).count() < least:
+        raise ValueError(f"{method} needs at least {least} labelled rows")
+
+
+def classify(model: PipelineModel | BoostedModel, rows: DataFrame, keep: list[str]) -> DataFrame:
     """Prepared rows, all of them, with their ``actual`` and ``predicted`` class by a fitted or loaded model."""
-    return model.transform(rows.withColumn("weight", F.lit(1.0))).select(*keep, F.col("target").alias("actual"), "predicted")
+    return model.transform(rows).select(*keep, F.col("target").alias("actual"), "predicted")
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -201,22 +288,18 @@ def predicted_driver(predictions: DataFrame) -> DataFrame:
 
 def fit_regressor(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
                   depth: int | None = None, holdout: int = 0) -> Fitted:
-    """Boosted trees (categories native) or a random forest (one-hot) on four of five folds."""
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    """Boosted trees (categories as target statistics) or a random forest (one-hot) on four of five folds."""
+    from pyspark.ml.regression import RandomForestRegressor
 
     prepared = prepare(df, features, key, number(df, target), one_hot=method == "rf")
-    least = 20 if method == "gbt" else 30
-    if prepared.rows.limit(least).count() < least:
-        raise ValueError(f"{method} needs at least {least} rows")
-    stages = list(prepared.stages)
+    _enough(prepared.rows, 20 if method == "gbt" else 30, method)
     if method == "gbt":
-        learner = GBTRegressor(featuresCol="features", labelCol="target", maxIter=trees, stepSize=0.05, maxDepth=depth or 5, maxBins=prepared.bins, seed=42)
-    else:
-        learner = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth or 10, seed=42)
+        return boosted(prepared, key, False, trees, depth or DEPTH, [holdout], 1.0)[0]
+    learner = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth or 10, seed=42)
     rows = prepared.rows
-    model = Pipeline(stages=[*stages, learner]).fit(rows.where(F.col("fold") != holdout))
+    model = Pipeline(stages=[*prepared.stages, learner]).fit(rows.where(F.col("fold") != holdout))
     scored = model.transform(rows.where(F.col("fold") == holdout)).select(*key, F.col("target").alias("actual"), F.col("prediction").alias("predicted"))
-    return Fitted(model, scored, prepared.columns, {})
+    return Fitted(model, scored, prepared.columns, {}, rows)
 
 
 def regression_metrics(predictions: DataFrame) -> DataFrame:
@@ -228,15 +311,14 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
 
 def importances(fitted: Fitted, top: int = 10) -> DataFrame:
     """A fitted model's feature importances, one-hot levels added up, largest first."""
-    from pyspark.ml.classification import OneVsRestModel
-
-    learner = next(s for s in reversed(fitted.model.stages) if hasattr(s, "featureImportances") or isinstance(s, OneVsRestModel))
-    models = learner.models if isinstance(learner, OneVsRestModel) else [learner]
     totals: dict[str, float] = {c: 0.0 for c in fitted.columns}
-    names = _vector_names(fitted)
-    for model in models:
-        for index, value in enumerate(model.featureImportances.toArray()):
-            totals[names[index] if index < len(names) else fitted.columns[-1]] += float(value) / len(models)
+    if isinstance(fitted.model, BoostedModel):
+        names, shares = fitted.model.feature_of(), list(fitted.model.trees.importance().values())
+    else:
+        learner = next(s for s in reversed(fitted.model.stages) if hasattr(s, "featureImportances"))
+        names, shares = _vector_names(fitted), learner.featureImportances.toArray()
+    for index, value in enumerate(shares):
+        totals[names[index] if index < len(names) else fitted.columns[-1]] += float(value)
     rows = sorted(totals.items(), key=lambda i: (-i[1], i[0]))[:top]
     spark = fitted.predictions.sparkSession
     return spark.createDataFrame([(c, round(v, 6), i + 1) for i, (c, v) in enumerate(rows)], "feature string, importance double, rank int")
@@ -277,29 +359,79 @@ def ordinary_least_squares(df: DataFrame, target: str, features: list[str]) -> D
 def cross_validate(df: DataFrame, target: str, features: list[str], key: list[str], method: str = "gbt", trees: int = 200,
                    depth: int | None = None, folds: int = TEST_SHARE) -> DataFrame:
     """Accuracy and macro F1 per fold, each fold predicted by a fit on the others."""
-    text = merged_classes(df, target)
-    prepared = prepare(df, features, key, text, one_hot=method == "rf", fill="zero" if method == "gbt" else "median", stratified=True, drop_empty=method == "gbt")
-    parts = []
-    for fold in range(folds):
-        fitted = fit_classifier(df, target, features, key, method, trees, depth, holdout=fold, prepared=prepared)
-        parts.append(classification_metrics(fitted.predictions).withColumn("fold", F.lit(fold)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    prepared = prepared_classes(df, target, features, key, method)
+    if method == "gbt":
+        fits = boosted(prepared, key, True, trees, depth or DEPTH, list(range(folds)), ROW_SHARE)
+    else:
+        fits = [fit_classifier(df, target, features, key, method, trees, depth, holdout=fold, prepared=prepared) for fold in range(folds)]
+    parts = [classification_metrics(f.predictions).withColumn("fold", F.lit(fold)) for fold, f in enumerate(fits)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def save_model(fitted: Fitted, path: str) -> None:
-    fitted.model.write().overwrite().save(path)
+    if isinstance(fitted.model, BoostedModel):
+        fitted.model.save(fitted.predictions.sparkSession, path)
+    else:
+        fitted.model.write().overwrite().save(path)
+
 
+def load_model(path: str) -> PipelineModel | BoostedModel:
+    spark = SparkSession.getActiveSession()
+    return BoostedModel.load(spark, path) if exists(spark, f"{path}/boosted") else PipelineModel.load(path)
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
 
+def stored(df: DataFrame, settings: dict[str, Any], fit: Callable[[], Fitted]) -> tuple[Fitted, str]:
+    """The fit saved in the shared folder under a digest of the rows and the settings, or a new one that is saved there, and where it is.
 
-def lagged_forecast(series: DataFrame, keys: list[str], trees: int = 50, depth: int = 4, lags: int = 3) -> Fitted:
+    The digest adds up hashes of the rows, so it does not depend on their order. ``drop_saved`` removes the whole fit; the next
+    call then fits anew.
+    """
+    spark = df.sparkSession
+    sums = df.select(*row_digest(df)).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("_h1", "_h2")]).first()
+    digest = hashlib.sha256(json.dumps([list(map(str, sums)), settings], sort_keys=True, default=str).encode()).hexdigest()
+    path = f"{shared_folder(spark)}/gridsight/fit-{digest}"
+    if not exists(spark, f"{path}/facts/_SUCCESS"):
+        fitted = fit()
+        kept_at(path)
+        save_model(fitted, f"{path}/model")
+        fitted.predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+        fitted.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(fitted.columns,)], "columns array<string>").write.mode("overwrite").parquet(f"{path}/facts")
+    columns = spark.read.parquet(f"{path}/facts").first()["columns"]
+    return Fitted(load_model(f"{path}/model"), spark.read.parquet(f"{path}/predictions"), list(columns), {}, spark.read.parquet(f"{path}/rows")), path
+
+
+def lagged_forecast(series: DataFrame, keys: list[str], trees: int = 200, depth: int = DEPTH, lags: int = 3) -> Fitted:
     """Boosted trees on lagged values and the month, one model over all series."""
     from gridsight.operators.timeseries import lag_features
 
     rows = lag_features(series, keys, lags).dropna().withColumn("_key", F.concat_ws("|", *keys, F.col("ds").cast("string")))
     return fit_regressor(rows, "y", [*[f"lag_{i}" for i in range(1, lags + 1)], "month_of_year", *keys], ["_key"], "gbt", trees, depth)
+
+
+def recursive_forecast(fitted: Fitted, series: DataFrame, keys: list[str], periods: int = 6, lags: int = 3, width: float = 1.2816) -> DataFrame:
+    """``keys…, h, ds, yhat, yhat_lower, yhat_upper, trend_direction`` by a model of ``lagged_forecast``.
+
+    Each period is predicted from the values before it, predicted ones included, so periods follow each other as columns of one
+    row per series; nothing is shuffled between them. The band is the error on the held-out fold times ``width`` (80 %).
+    A series of fewer than ``lags`` points has no forecast.
+    """
+    from gridsight.operators.timeseries import series_direction, series_tail
+
+    kind = kinds(series)
+    state = series_tail(series, keys, lags).where(F.col("n") >= lags).withColumns({
+        **{f"n_lag_{i}": F.col(f"back_{i}") for i in range(1, lags + 1)},
+        **{f"n_{k}": number(series, k) for k in keys if kind[k] in ("number", "boolean")},
+        **{f"w_{k}": F.coalesce(as_text(series, k), F.lit("Unknown")) for k in keys if kind[k] not in ("number", "boolean")}})
+    state = fitted.model.coded(state)
+    error = regression_metrics(fitted.predictions).first()["rmse"] or 0.0
+    for h in range(1, periods + 1):
+        ahead = F.date_add("last_ds", F.floor(F.col("step") * h).cast("int"))
+        state = state.withColumns({f"_ds{h}": ahead, "n_month_of_year": F.month(ahead).cast("double")})
+        state = boosting.predict(state, fitted.model.trees, state.columns).drop("margins").withColumnRenamed("predicted", f"_y{h}")
+        state = state.withColumns({f"n_lag_{i}": F.col(f"n_lag_{i - 1}") if i > 1 else F.col(f"_y{h}") for i in range(1, lags + 1)})
+    steps = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_ds{h}").alias("ds"), F.col(f"_y{h}").alias("y")) for h in range(1, periods + 1)])).alias("s")
+    value = lambda c: F.round(c, 2)
+    return state.select(*keys, series_direction(F.col("first_y"), F.col(f"_y{periods}")).alias("trend_direction"), steps).select(
+        *keys, "s.h", "s.ds", value(F.col("s.y")).alias("yhat"), value(F.col("s.y") - width * error).alias("yhat_lower"),
+        value(F.col("s.y") + width * error).alias("yhat_upper"), "trend_direction")

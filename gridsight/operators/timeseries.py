@@ -61,6 +61,18 @@ def _direction(first: Column, last: Column) -> Column:
     return F.when(change > 1, "increasing").when(change < -1, "decreasing").otherwise("flat")
 
 
+series_direction = _direction
+
+
+def series_tail(series: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """Per key: ``n, last_ds, first_y, step`` and its newest values as ``back_1`` (the last) to ``back_{points}``."""
+    newest = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(F.desc("ds"))
+    ranked = series.withColumn("_i", F.row_number().over(newest)).withColumn("gap", F.datediff("ds", F.lead("ds").over(newest)))
+    return ranked.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max("ds").alias("last_ds"), F.min_by("y", "ds").alias("first_y"), F.coalesce(F.median("gap"), F.lit(30.0)).alias("step"),
+        *[F.max(F.when(F.col("_i") == i, F.col("y"))).alias(f"back_{i}") for i in range(1, points + 1)])
+
+
 def _shape(series: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: points, last date, ends and the step between dates (30 days if unknown)."""
     return _gaps(series, keys).groupBy(*keys).agg(

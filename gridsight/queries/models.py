@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import functions as F
 
-from gridsight.functions.scale import saved, shared_folder
+from gridsight.functions.scale import saved
 from gridsight.operators import anomaly, cluster, importance, learn, neighbors, timeseries as ts
 from gridsight.plans.inputs import FINANCE, SALES
 from gridsight.plans.kpis import DRIVER_LABELS
@@ -105,22 +105,23 @@ def _labelled(spark, folder):
     return prepared(spark, folder, LABELLED)
 
 
-_FITTED: dict[tuple, learn.Fitted] = {}
+CLASSIFIERS = ["gbt", "rf", "logistic"]
 REGRESSION = {"reg_gbt": ("o_totalprice", ["l_quantity", "l_extendedprice", "l_discount", *WORDS], "gbt"),
               "reg_rf": ("l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", *WORDS], "rf")}
 
 
+def _stored(spark, folder, name) -> tuple[learn.Fitted, str]:
+    """A model with the operator's defaults, saved with its predictions, as several queries report on it; and where it is."""
+    rows = _labelled(spark, folder)
+    if name in REGRESSION:
+        target, features, method = REGRESSION[name]
+        return learn.stored(rows, {"target": target, "features": features, "method": method}, lambda: learn.fit_regressor(rows, target, features, KEY, method))
+    return learn.stored(rows, {"target": "driver", "features": NUMBERS + WORDS, "method": name},
+                        lambda: learn.fit_classifier(rows, "driver", NUMBERS + WORDS, KEY, name))
+
+
 def _fitted(spark, folder, name) -> learn.Fitted:
-    """A model with the operator's defaults, fitted once per session and table folder, as several queries report on it."""
-    place = (spark.sparkContext.applicationId, folder, name)
-    if place not in _FITTED:
-        rows = _labelled(spark, folder)
-        if name in REGRESSION:
-            target, features, method = REGRESSION[name]
-            _FITTED[place] = learn.fit_regressor(rows, target, features, KEY, method)
-        else:
-            _FITTED[place] = learn.fit_classifier(rows, "driver", NUMBERS + WORDS, KEY, name)
-    return _FITTED[place]
+    return _stored(spark, folder, name)[0]
 
 
 @query("clf_gbt")
@@ -162,10 +163,8 @@ def cross_validation(spark, folder):
 @query("predicted_driver")
 def predicted_driver(spark, folder):
     # The saved model is loaded and classifies every row.
-    fitted = _fitted(spark, folder, "rf")
-    path = f"{shared_folder(spark)}/gridsight_models/{uuid.uuid4().hex}"
-    learn.save_model(fitted, path)
-    return learn.predicted_driver(learn.classify(learn.load_model(path), fitted.rows, KEY))
+    fitted, path = _stored(spark, folder, "gbt")
+    return learn.predicted_driver(learn.classify(learn.load_model(f"{path}/model"), fitted.rows, KEY))
 
 
 @query("reg_gbt")
@@ -185,10 +184,16 @@ def key_drivers(spark, folder):
 
 @query("training_summary")
 def training_summary(spark, folder):
-    """The training job: every model with the metrics of its held-out fold in one table."""
+    """The training job: every model with the metrics of its held-out fold in one table.
+
+    The fits are independent and run side by side, so that the short jobs of one fill the cores that another leaves idle.
+    """
+    names = [*CLASSIFIERS, "reg_gbt", "reg_rf"]
+    with ThreadPoolExecutor(len(names)) as pool:
+        fits = list(pool.map(lambda name: _fitted(spark, folder, name), names))
     parts = []
-    for name in ("gbt", "rf", "logistic", "reg_gbt", "reg_rf"):
-        metrics = (learn.regression_metrics if name in REGRESSION else learn.classification_metrics)(_fitted(spark, folder, name).predictions)
+    for name, fitted in zip(names, fits):
+        metrics = (learn.regression_metrics if name in REGRESSION else learn.classification_metrics)(fitted.predictions)
         pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics.columns])
         parts.append(metrics.select(F.lit(name).alias("model"), F.explode(pairs).alias("m")).select("model", "m.*"))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -201,10 +206,20 @@ def reg_ols(spark, folder):
     return learn.ordinary_least_squares(table(spark, folder, "lineitem"), "l_extendedprice", ["l_quantity"])
 
 
+def _lagged(spark, folder):
+    series = ts.build_series(prepared(spark, folder, SALES), "o_orderdate", "o_totalprice", ["n_name"], "month")
+    return series, learn.stored(series, {"forecast": "lagged"}, lambda: learn.lagged_forecast(series, ["n_name"]))[0]
+
+
 @query("fc_gbt")
 def fc_gbt(spark, folder):
-    series = ts.build_series(prepared(spark, folder, SALES), "o_orderdate", "o_totalprice", ["n_name"], "month")
-    return learn.regression_metrics(learn.lagged_forecast(series, ["n_name"]).predictions)
+    return learn.regression_metrics(_lagged(spark, folder)[1].predictions)
+
+
+@query("fc_gbt_ahead")
+def fc_gbt_ahead(spark, folder):
+    series, fitted = _lagged(spark, folder)
+    return learn.recursive_forecast(fitted, series, ["n_name"])
 
 
 IMPORTANT = ["exposure_growth_variance", "premium_rate_variance", "claim_severity_variance", "cost_actual"]
@@ -224,12 +239,14 @@ def imp_permutation(spark, folder):
 
 @query("imp_shapley")
 def imp_shapley(spark, folder):
-    return importance.shapley_importance(_labelled(spark, folder), "l_extendedprice", ["l_quantity", "l_discount", "o_totalprice", "l_returnflag"], KEY)
+    # Of the regressor that reg_gbt reports.
+    return importance.fitted_importance(_fitted(spark, folder, "reg_gbt"))
 
 
 @query("class_attribution")
 def class_attribution(spark, folder):
-    return importance.class_attribution(_labelled(spark, folder), "driver", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"], KEY)
+    # Of the classifier that clf_gbt reports.
+    return importance.fitted_attribution(_fitted(spark, folder, "gbt"))
 
 
 assert set(IMPORTANT[:3]) <= set(DRIVER_LABELS)
