@@ -288,7 +288,8 @@ def test_stratified_folds_and_all_rows_classified(spark):
 
 
 def test_class_attribution(spark):
-    df = classed(spark)
+    # Classes are weighted alike, so a class that is dealt at random would have its noise explained too.
+    df = classed(spark).where("c <> 'rare'")
     rows = importance.class_attribution(df, "c", ["a", "b", "w"], ["id"], trees=20)
     got = {r["feature"]: r for r in rows.collect()}
     assert {r["class"] for r in got.values()} == {"low"}
