@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations, permutations
 from math import factorial
 
@@ -182,6 +183,18 @@ def test_fits_are_stored_and_go_with_drop_saved(spark):
     assert learn.classification_metrics(refit.predictions).first()["test_rows"] == 180
 
 
+def test_stored_fits_are_read_in_new_threads(spark):
+    df = classed(spark, 400)
+    stored = lambda method: learn.stored(df, {"threads": method}, lambda: learn.fit_classifier(
+        df, "k", ["a", "b", "w"], ["id"], method, trees=3, depth=3))[0]
+    methods = ("gbt", "rf", "logistic")
+    before = [learn.classification_metrics(stored(m).predictions).first() for m in methods]
+    with ThreadPoolExecutor(3) as pool:
+        again = list(pool.map(stored, methods))
+    assert [learn.classification_metrics(f.predictions).first() for f in again] == before
+    assert all(learn.classify(f.model, f.rows, ["id"]).count() == 400 for f in again)
+
+
 def test_many_classes_and_rare_ones(spark):
     df = spark.range(1200).selectExpr("id", "cast(id % 30 as double) AS x", "concat('c', id % 30) AS k").unionByName(
         spark.createDataFrame([(5000 + i, 77.0, "rare") for i in range(5)] + [(6000, 1.0, None)], "id bigint, x double, k string"))
