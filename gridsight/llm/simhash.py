@@ -144,7 +144,8 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     homes = distinct.mapInArrow(place(False), "anchor int, bits bigint").withColumnRenamed("bits", "a")
     copies = distinct.mapInArrow(place(True), "anchor int, bits bigint").withColumnRenamed("bits", "b")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return homes.join(copies, "anchor").filter((F.col("a") < F.col("b")) & close).select("a", "b")
+    # Spark takes the copies to be as small as the fingerprints that they are made from, so it would broadcast them.
+    return homes.join(copies.hint("merge"), "anchor").filter((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
 def with_fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:

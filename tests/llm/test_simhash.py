@@ -62,6 +62,12 @@ def test_links_at_every_distance(spark):
     assert got == want and len(want) >= 500
 
 
+def test_copies_at_anchors_are_not_broadcast(spark):
+    prints = spark.createDataFrame([(i * 977,) for i in range(50)], "bits bigint")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 4999), (4999, 5000), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
