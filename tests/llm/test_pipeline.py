@@ -1,5 +1,5 @@
 import corpus_pipeline
-from gridsight.llm import language
+from gridsight.llm import language, simhash
 from tests.llm.test_bpe import LIBRARY
 from tests.llm.test_decontaminate import brute as passages
 from tests.llm.test_simhash import brute_components, brute_print
@@ -46,3 +46,16 @@ def test_repeated_doc_id_of_unrelated_texts(spark):
     rows = [(1, one), (1, two), (2, two), (3, three), (3, one), (3, three)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [(1, one), (1, two), (3, three)]
+
+
+def test_near_dedup_broadcasts_no_copies_at_anchors(spark, monkeypatch):
+    plans, links = [], simhash.links
+
+    def watched(*args):
+        found = links(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+    monkeypatch.setattr(simhash, "links", watched)
+    docs = spark.createDataFrame([(i, f"text number {i} of a few") for i in range(30)], "doc_id bigint, text string")
+    assert corpus_pipeline.one_of_each_group(spark, docs, "").count() > 0
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
