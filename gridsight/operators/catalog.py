@@ -2,19 +2,74 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridsight.functions.parsing import as_text, missing
 from gridsight.functions.scale import row_numbers, saved
 
 
+#: Files of up to so many bytes are read whole by Spark's reader, larger ones in pieces.
+WHOLE, PIECE = 16 << 20, 4 << 20
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a file as Arrow opens it, and the file's name there."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), f"/{rest.lstrip('/')}"
+    authority, _, name = rest.removeprefix("//").partition("/")
+    store, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, f"{root.rstrip('/')}/{name}"
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the files of the first column, in place of the last; a task holds a piece of a file at a time."""
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            store, name = _opened(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=batch.schema.names)
+
+
+def _streamed_by_driver(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file in a store that only Spark opens."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    sink = jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place), sink, PIECE, True)
+    return digest.digest().hex()
+
+
 def file_fingerprints(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """SHA-256 of each file's bytes under a path, with size and time."""
+    """SHA-256 of each file's bytes under a path, with size and time.
+
+    A file of any size is hashed by one task, in pieces. Where Arrow cannot open the store, the driver streams the files over WHOLE
+    bytes; tasks hash the others in either case.
+    """
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified_at"),
-                                    F.sha2("content", 256).alias("fingerprint"))
+    files, facts = reader.load(path), [F.col("path"), F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified_at")]
+    small = files.where(F.col("length") <= WHOLE).select(*facts, F.sha2("content", 256).alias("fingerprint"))
+    large = files.where(F.col("length") > WHOLE).select(*facts, F.lit(None).cast("string").alias("fingerprint"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        _opened(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    except (OSError, pa.ArrowException):
+        rows = [(*r[:3], _streamed_by_driver(spark, r["path"])) for r in large.collect()]
+        return small.unionByName(spark.createDataFrame(rows, large.schema))
+    return small.unionByName(large.mapInArrow(_streamed, large.schema))
 
 
 def row_fingerprint(df: DataFrame, columns: list[str] | None = None) -> Column:
