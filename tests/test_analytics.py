@@ -155,6 +155,18 @@ def test_one_class_boundary(spark):
     assert 7 in {r["id"] for r in got.collect()} and abs(got.count() - 15) <= 1
 
 
+def test_wave_sums_equal_doubles():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=(2500, 3)), rng.normal(size=(100, 3)) * 1e6])
+    omega, phase, weights = rng.normal(size=(3, 16)), rng.uniform(0, 2 * np.pi, 16), rng.normal(size=16)
+    phi = np.sqrt(2 / 16) * np.cos(values @ omega + phase)
+    margins = np.sort(phi @ weights)
+    for offset in (np.inf, -np.inf, *(margins[i:i + 2].mean() for i in np.flatnonzero(np.diff(margins) > 1e-4)[[10, 500]])):
+        below, inside = anomaly.wave_sums(values, omega, phase, weights, offset)
+        short = phi @ weights < offset
+        assert inside == short.sum() and np.allclose(below, phi[short].sum(axis=0), atol=1e-3)
+
+
 def test_lof_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(150, 2)), np.repeat([[1.5, 1.5]], 60, axis=0), rng.uniform(-9, 9, size=(20, 2))])
