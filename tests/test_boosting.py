@@ -221,3 +221,37 @@ def test_recursive_forecast_equals_a_plain_loop(spark):
             y = boosting.margins(trees, boosting.bins_of(trees.edges, np.array([[values[c] for c in trees.columns]])))[0, 0]
             assert r["yhat"] == round(y, 2) and r["yhat_lower"] < r["yhat"] < r["yhat_upper"]
             lags = [y, *lags[:2]]
+
+
+def test_slots_and_their_ends_equal_a_plain_walk():
+    rng = np.random.default_rng(5)
+    columns, depth = rng.integers(0, 64, (3, 500)).astype(np.uint8), 4
+    feature = np.where(rng.random(31) < 0.75, rng.integers(0, 3, 31), -1).astype(np.int16)
+    feature[0], feature[15:] = 1, -1
+    for i in range(1, 15):
+        feature[i] = feature[i] if feature[(i - 1) // 2] >= 0 else -1
+    cut = rng.integers(0, 64, 31).astype(np.uint8)
+    ends = boosting._ends(feature, depth)[boosting.slots(columns, feature, cut, depth)]
+    for row, end in enumerate(ends):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + 1 + int(columns[feature[node], row] > cut[node])
+        assert node == end
+
+
+def test_packed_rows_travel_in_blocks(spark):
+    rows = spark.range(2500).selectExpr("id", "cast(id % 5 as int) AS fold", "cast(id as double) AS target", "cast(id % 9 as double) AS x")
+    edges = [np.arange(8.0)]
+    table = boosting.packed(rows.repartition(2), ["x"], edges, F.col("id"), np.zeros((1, 1)))
+    assert table.count() <= 8 and table.agg(F.sum("rows")).first()[0] == 2500
+    read = list(boosting._read(iter(table.toArrow().to_batches()), 1, 1, np.inf))
+    assert len(read) == 1 and (read[0].columns[0] == read[0].y % 9).all() and (read[0].fold == read[0].y % 5).all()
+
+
+def test_wrong_guesses_change_nothing(spark, monkeypatch):
+    prepared = learn.prepared_classes(classed(spark), "k", ["a", "b"], ["id"], "gbt")
+    found = []
+    for rows in (boosting.GUESS_ROWS, 60):
+        monkeypatch.setattr(boosting, "GUESS_ROWS", rows)
+        found.append(learn.boosted(prepared, ["id"], True, 4, 4, [0], 0.8)[0].model.trees)
+    assert all(np.array_equal(getattr(found[0], n), getattr(found[1], n)) for n in ("feature", "cut", "value", "cover", "gain"))
